@@ -123,7 +123,7 @@ def segment_rules() -> list[Rule]:
         Rule("ph_align_not_pow2", element=lambda p: (p["align"] > 1) & ~is_power_of_two(p["align"])),
         Rule("ph_offset_vaddr_misaligned", element=lambda p: ((p["align"] <= 1) | is_power_of_two(p["align"])) & ~is_congruent(p["vaddr"], p["offset"], p["align"])),
         Rule("ph_filesz_gt_memsz", element=lambda p: ~load(p) & ~note(p) & (p["memsz"] != 0) & (p["filesz"] > p["memsz"])),
-        Rule("ph_phdr_offset_mismatch", (F.col("header.phoff") != 0) & (F.element_at(F.filter("program_headers", lambda p: p["p_type"] == 6), -1)["offset"] != F.col("header.phoff"))),
+        Rule("ph_phdr_offset_mismatch", (F.col("header.phoff") != 0) & (F.try_element_at(F.filter("program_headers", lambda p: p["p_type"] == 6), F.lit(-1))["offset"] != F.col("header.phoff"))),
         Rule("ph_phdr_not_in_load", (_count(6) > 0) & (_count(1) > 0) & ~phdr_in_load),
         *[Rule(f"ph_multiple_{SEGMENT_TYPES[t].lower()}", _count(t) > 1) for t in (6, 3, 2, 7, 0x6474E552)],
     ]
@@ -136,7 +136,7 @@ def anomalies(reports: DataFrame, rules: list[Rule], keep: list[str]) -> DataFra
         if rule.per_file is not None:
             n = F.when(F.coalesce(rule.per_file, F.lit(False)), 1).otherwise(0)
         else:
-            n = F.coalesce(F.size(F.filter("program_headers", lambda p, r=rule: F.coalesce(r.element(p), F.lit(False)))), F.lit(0))
+            n = F.coalesce(F.size(F.filter("program_headers", rule.element)), F.lit(0))
         hits.append(F.struct(F.lit(rule.name).alias("anomaly"), n.alias("hits")))
     found = F.filter(F.array(*hits), lambda x: x["hits"] > 0)
     return reports.select(*keep, F.inline(found))

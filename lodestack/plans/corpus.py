@@ -229,7 +229,8 @@ def address_owners(spark: SparkSession, d: str) -> DataFrame:
 @query("select bit, count(*) as n from (select unnest(list_filter(range(64), lambda i: (entry >> i) & 1 = 1)) as bit from program_reports where entry is not null) group by 1")
 def entry_bits(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "program_reports").where("entry is not null")
-    return rows.select(F.explode(ranges.set_bits(F.col("entry"))).cast("bigint").alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
+    bits = rows.select(F.explode(ranges.set_bits(F.col("entry"))).alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
+    return bits.select(F.col("bit").cast("bigint").alias("bit"), "n")
 
 
 # ---- anomalies ----------------------------------------------------------------------------

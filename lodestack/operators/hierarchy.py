@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.records import keys_of, library_key
 from lodestack.operators import bloom
+from lodestack.operators.skew import salted_lookup
 from lodestack.session import materialise
 
 #: Peel rounds per Spark job; the plan of a job is a chain of as many aggregates.
@@ -117,25 +118,39 @@ def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             (F.col("size") - 1).alias("descendants"),
         )
         top = top.unionByName(ring)
-    below = materialise(peeled.where("parent is not null").select("node", "parent", "size"), "below")
-    level = materialise(top, "level0")
-    levels = [level]
+    top = materialise(top, "top")
+    anchored = descend(top.select("node"), peeled.where("parent is not null").select("node", "parent", (F.col("size") - 1).alias("descendants")))
+    above = top.select(F.col("node").alias("anchor"), "root", F.when(F.col("state") == "tree", "tree").otherwise("below_cycle").alias("state"))
+    below = salted_lookup(anchored.withColumn("anchor", F.get("above", 0)), above, "anchor").select(
+        "node", "parent", "root", F.size("above").alias("depth"), "state", F.concat("above", F.array("node")).alias("path"), "descendants"
+    )
+    return top.unionByName(below)
+
+
+def descend(tops: DataFrame, below: DataFrame) -> DataFrame:
+    """``below`` (node, parent, descendants) with ``above``, the nodes from its topmost ancestor to its parent.
+
+    Parents come before children: a node whose stretch of known ancestors ends at a node that is
+    done becomes done itself, and the stretches of all others double in length. So d levels take
+    log2(d) steps, in which nodes that are done are only looked up.
+    """
+    waiting = materialise(below.select("*", F.col("parent").alias("up"), F.array("parent").alias("above")), "descent")
+    known = tops.select("node", F.lit(None).cast("string").alias("next"), F.array().cast("array<string>").alias("before"), F.lit(True).alias("is_top"))
+    done = None
     while True:
-        up = level.select(
-            F.col("node").alias("parent"), "root", "depth", F.when(F.col("state") == "tree", "tree").otherwise("below_cycle").alias("state"), "path"
+        there = waiting.select("node", F.col("up").alias("next"), F.col("above").alias("before"), F.lit(False).alias("is_top"))
+        # stretches of done nodes end at a top, which has no next node
+        lookup = known.unionByName(there).withColumnRenamed("node", "up")
+        step = salted_lookup(waiting, lookup, "up").select(
+            *below.columns, "next", F.when(F.col("is_top"), F.col("above")).otherwise(F.concat("before", "above")).alias("above")
         )
-        level = below.join(up, "parent").select(
-            "node", "parent", "root", (F.col("depth") + 1).alias("depth"), "state",
-            F.concat("path", F.array("node")).alias("path"), (F.col("size") - 1).alias("descendants"),
-        )
-        level = materialise(level, f"level{len(levels)}")
-        if not level.limit(1).count():
-            break
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        step = materialise(step, "descent")
+        finished = step.where("next is null").drop("next")
+        done = finished if done is None else done.unionByName(finished)
+        known = known.unionByName(finished.select("node", F.lit(None).cast("string").alias("next"), F.col("above").alias("before"), F.lit(False).alias("is_top")))
+        waiting = step.where("next is not null").withColumnRenamed("next", "up")
+        if not waiting.limit(1).count():
+            return done
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.records import clean_path, keys_of, library_key
 from lodestack.operators import bloom
 from lodestack.operators.skew import salted_lookup
+from lodestack.session import materialise
 
 #: A row without arrival time counts as arriving after all others.
 LAST = "timestamp_ntz'9999-12-31 00:00:00'"
@@ -86,7 +87,7 @@ def orphan_references(reports: DataFrame, base: DataFrame, removals: DataFrame)
     always = base.select(library_key(F.col("soname")).alias("key")).where("key is not null").distinct()
     small = always.limit(MOST_BASE_KEYS + 1).count() <= MOST_BASE_KEYS
     refs = refs.join(F.broadcast(always) if small else always, "key", "left_anti")
-    asked = bloom.probe(refs, "key", bloom.build(sonames, "key", words), words)
+    asked = materialise(bloom.probe(refs, "key", bloom.build(sonames, "key", words), words), "references")
     proven = asked.where("not maybe").select("report_id", "key", F.lit("missing").alias("status"), "period")
     found = salted_lookup(asked.where("maybe").drop("maybe"), parents(reports, removals), "key")
     live = F.exists("periods", lambda p: (p["lo"] <= F.col("at")) & (F.col("at") < p["hi"]))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,8 @@ MOST_LABELLED = 20_000
 #: Hash buckets of either model's features.
 FEATURES = 1 << 14
 BANDS = (1, 2, 3, 4)
+#: Occurrences that every feature of a model is taken to have besides its own.
+SMOOTHING = 0.2
 MODELS = ("words", "characters")
 
 
@@ -77,20 +79,23 @@ def graded(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", "band", (F.col("odds") / F.sum("odds").over(post)).alias("part"))
 
 
-def _fit(rows: DataFrame, features: str, weight: str, strength: float) -> LogisticRegressionModel:
-    """Multinomial logistic regression; 0 stands for no band, so that a band is its class."""
-    return LogisticRegression(
-        featuresCol=features, labelCol="band", weightCol=weight, regParam=strength, maxIter=40, family="multinomial", aggregationDepth=2
-    ).fit(rows)
+def _fit(rows: DataFrame, name: str) -> NaiveBayesModel:
+    """A multinomial model, regularised by smoothing; one aggregate over the sentences. 0 stands for no band, so that a band is its class."""
+    return NaiveBayes(featuresCol=f"{name}_x", labelCol="band", weightCol="weight", modelType="multinomial", smoothing=SMOOTHING).fit(rows)
 
 
-def _logs(model: LogisticRegressionModel, rows: DataFrame, name: str) -> DataFrame:
+def _calibrate(profiles: DataFrame) -> LogisticRegressionModel:
+    """Logistic regression on the few averages of each post."""
+    return LogisticRegression(featuresCol="x", labelCol="band", weightCol="part", regParam=0.02, maxIter=30, family="multinomial").fit(profiles)
+
+
+def _logs(model: NaiveBayesModel, rows: DataFrame, name: str) -> DataFrame:
     scored = model.setFeaturesCol(f"{name}_x").setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(rows)
     probabilities = vector_to_array("_p")
     return scored.select("*", *[F.log(F.greatest(F.get(probabilities, b), F.lit(1e-4))).alias(f"{name}{b}") for b in BANDS]).drop("_p", "_r", "_c")
 
 
-def _profile(models: dict[str, LogisticRegressionModel], rows: DataFrame, keep: list[str]) -> DataFrame:
+def _profile(models: dict[str, NaiveBayesModel], rows: DataFrame, keep: list[str]) -> DataFrame:
     """(*keep, own_words, x): the averages over a post's sentences of the logarithms of both models."""
     for name in MODELS:
         rows = _logs(models[name], rows, name)
@@ -102,7 +107,7 @@ def _profile(models: dict[str, LogisticRegressionModel], rows: DataFrame, keep:
 
 @dataclass
 class ReadingModel:
-    sentences: dict[str, LogisticRegressionModel]
+    sentences: dict[str, NaiveBayesModel]
     calibration: LogisticRegressionModel
 
 
@@ -123,11 +128,11 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3) -> ReadingModel
     held_out = None
     for fold in sorted(found):
         train = rows.where(F.col("fold") != fold) if len(found) > 1 else rows
-        models = {name: _fit(train, f"{name}_x", "weight", 0.002) for name in MODELS}
+        models = {name: _fit(train, name) for name in MODELS}
         part = _profile(models, rows.where(F.col("fold") == fold), ["doc_id", "band", "part"])
         held_out = part if held_out is None else held_out.unionByName(part)
-    calibration = _fit(held_out, "x", "part", 0.003)
-    final = {name: _fit(rows, f"{name}_x", "weight", 0.002) for name in MODELS}
+    calibration = _calibrate(held_out)
+    final = {name: _fit(rows, name) for name in MODELS}
     rows.unpersist()
     return ReadingModel(final, calibration)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.records import keys_of, record_id, term
+from lodestack.functions.records import keys_of, library_key, record_id, term
 from lodestack.session import materialise, table
 
 #: Terms of a container before it bursts, and the depth (characters) at which it no longer does.
@@ -209,8 +209,6 @@ def field_rows(df: DataFrame, field: str, entries: Column, normalise) -> DataFra
 
 def report_terms(spark, sf_dir: str) -> DataFrame:
     """The term frequencies of ``needed``, ``p_type_name`` and ``normalized_findings`` in one job."""
-    from lodestack.functions.records import library_key
-
     programs, elfs, lints = (table(spark, sf_dir, f"{x}_reports") for x in ("program", "elf", "elflint"))
     return term_frequencies(
         field_rows(programs, "needed", F.col("needed"), library_key)

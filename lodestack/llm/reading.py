@@ -80,19 +80,24 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, name: str) -> NaiveBayesModel:
-    """A multinomial model, regularised by smoothing; one aggregate over the sentences. 0 stands for no band, so that a band is its class."""
-    return NaiveBayes(featuresCol=f"{name}_x", labelCol="band", weightCol="weight", modelType="multinomial", smoothing=SMOOTHING).fit(rows)
+    """A multinomial model, regularised by smoothing; one aggregate over the sentences. Class k is the band k + 1.
+
+    An empty sentence of next to no weight per class keeps the classes in place where a band has no example.
+    """
+    empty = rows.sparkSession.range(len(BANDS)).select(F.col("id").cast("double").alias("class"), F.array().cast("array<string>").alias("words"))
+    known = rows.select(f"{name}_x", "class", "weight").unionByName(_vectors(empty).select(f"{name}_x", "class", F.lit(1e-6).alias("weight")))
+    return NaiveBayes(featuresCol=f"{name}_x", labelCol="class", weightCol="weight", modelType="multinomial", smoothing=SMOOTHING).fit(known)
 
 
 def _calibrate(profiles: DataFrame) -> LogisticRegressionModel:
     """Logistic regression on the few averages of each post."""
-    return LogisticRegression(featuresCol="x", labelCol="band", weightCol="part", regParam=0.02, maxIter=30, family="multinomial").fit(profiles)
+    return LogisticRegression(featuresCol="x", labelCol="class", weightCol="part", regParam=0.02, maxIter=30, family="multinomial").fit(profiles)
 
 
 def _logs(model: NaiveBayesModel, rows: DataFrame, name: str) -> DataFrame:
     scored = model.setFeaturesCol(f"{name}_x").setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(rows)
     probabilities = vector_to_array("_p")
-    return scored.select("*", *[F.log(F.greatest(F.get(probabilities, b), F.lit(1e-4))).alias(f"{name}{b}") for b in BANDS]).drop("_p", "_r", "_c")
+    return scored.select("*", *[F.log(F.greatest(F.coalesce(F.get(probabilities, b - 1), F.lit(0.0)), F.lit(1e-4))).alias(f"{name}{b}") for b in BANDS]).drop("_p", "_r", "_c")
 
 
 def _profile(models: dict[str, NaiveBayesModel], rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -124,12 +129,12 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3) -> ReadingModel
     found = {r.fold for r in rows.select("fold").distinct().collect()}
     if not found:
         raise ValueError("no graded post has a sentence of its own")
-    rows = _vectors(rows).withColumn("weight", F.col("part") * F.log1p(F.size("words"))).persist()
+    rows = _vectors(rows).withColumn("weight", F.col("part") * F.log1p(F.size("words"))).withColumn("class", (F.col("band") - 1).cast("double")).persist()
     held_out = None
     for fold in sorted(found):
         train = rows.where(F.col("fold") != fold) if len(found) > 1 else rows
         models = {name: _fit(train, name) for name in MODELS}
-        part = _profile(models, rows.where(F.col("fold") == fold), ["doc_id", "band", "part"])
+        part = _profile(models, rows.where(F.col("fold") == fold), ["doc_id", "class", "part"])
         held_out = part if held_out is None else held_out.unionByName(part)
     calibration = _calibrate(held_out)
     final = {name: _fit(rows, name) for name in MODELS}
@@ -146,8 +151,8 @@ def difficulty(documents: DataFrame, model: ReadingModel, least_words: int = 40)
     profiles = _profile(model.sentences, _vectors(sentence_rows(documents)), ["doc_id"]).where(F.col("own_words") >= least_words)
     scored = model.calibration.setFeaturesCol("x").setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(profiles)
     p = vector_to_array("_p")
-    level = sum(F.coalesce(F.get(p, b), F.lit(0.0)) * b for b in BANDS)
-    return scored.select("doc_id", "own_words", F.col("_c").cast("int").alias("band"), F.array_max(p).alias("confidence"), level.alias("level"))
+    level = sum(F.coalesce(F.get(p, b - 1), F.lit(0.0)) * b for b in BANDS)
+    return scored.select("doc_id", "own_words", (F.col("_c") + 1).cast("int").alias("band"), F.array_max(p).alias("confidence"), level.alias("level"))
 
 
 def profile(levels: DataFrame) -> DataFrame:

@@ -77,11 +77,10 @@ class Compacted:
     n_files: int
 
 
-def distinct_reports(found: DataFrame, files: DataFrame) -> DataFrame:
+def distinct_reports(found: DataFrame) -> DataFrame:
     """One row per (report_type, path, lower-case sha256): of several versions the one last modified,
     then of the highest file_id, then the largest text. Null times are older than all others."""
-    times = files.select("file_id", "modified_at")
-    rows = found.join(times, "file_id", "left").select(
+    rows = found.select(
         "report_type", clean_path(F.col("relative")).alias("relative"), F.lower("sha256").alias("sha256"), "modified_at", "file_id", "size", "report"
     )
     best = F.max(F.struct("modified_at", "file_id", "report", "size")).alias("best")
@@ -111,13 +110,13 @@ def place(records: DataFrame, file_bytes: int) -> tuple[DataFrame, int]:
     return placed.drop("first", "parts"), n_files
 
 
-def compact(found: DataFrame, files: DataFrame, file_bytes: int = 128 << 20) -> Compacted:
+def compact(found: DataFrame, file_bytes: int = 128 << 20) -> Compacted:
     """Write each distinct report of ``found`` exactly once into files of about ``file_bytes`` of text.
 
     ``found`` is what ``report_objects`` gives. Raises ValueError where the digests of source
     and destination differ. No reports give an empty table.
     """
-    records = distinct_reports(found, files).withColumn("code", hilbert_code(*_axes()))
+    records = distinct_reports(found).withColumn("code", hilbert_code(*_axes()))
     staged = materialise(records, "staged")
     placed, n_files = place(staged, file_bytes)
     out = placed.repartitionById(n_files, F.col("file_no")).sortWithinPartitions("code", "relative", "sha256", "report_type")

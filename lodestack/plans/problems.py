@@ -11,8 +11,7 @@ from lodestack.sources.json_objects import report_objects
 
 
 def _compacted(spark: SparkSession, d: str) -> compaction.Compacted:
-    files = table(spark, d, "report_files")
-    return compaction.compact(report_objects(files), files)
+    return compaction.compact(report_objects(table(spark, d, "report_files")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,13 +80,13 @@ _TREE = f"""
     nodes as (select distinct node from rows_ where node is not null),
     named as (select node, unnest(keys) as parent from rows_ where node is not null),
     edges as (select node, min(parent) as parent from named where parent in (select node from nodes) group by node),
-    up as (select node, node as at, 0 as steps, [node] as path from nodes
-           union all select up.node, e.parent, steps + 1, list_prepend(e.parent, path) from up join edges e on e.node = up.at where not list_contains(path, e.parent)),
-    ends as (select up.*, e.parent as next from up left join edges e on e.node = up.at where e.parent is null or list_contains(path, e.parent)),
+    up as (select node, node as here, 0 as steps, [node] as path from nodes
+           union all select up.node, e.parent, steps + 1, list_prepend(e.parent, path) from up join edges e on e.node = up.here where not list_contains(path, e.parent)),
+    ends as (select up.*, e.parent as next from up left join edges e on e.node = up.here where e.parent is null or list_contains(path, e.parent)),
     -- a walk that ends before a node of its own path has met a loop: from that node to the end
     met as (select *, list_position(path, next) as back from ends),
     ring as (select *, case when next is null then null else path[1:back] end as loop_ from met),
-    tree as (select node, next is null as rooted, case when next is null then at else list_min(loop_) end as root,
+    tree as (select node, next is null as rooted, case when next is null then here else list_min(loop_) end as root,
              case when next is null then steps else len(path) - back end as depth,
              case when next is null then 'tree' when back = len(path) then 'cycle' else 'below_cycle' end as state,
              case when next is null then path when back = len(path) then [node] else path[back:] end as path from ring)

@@ -44,14 +44,11 @@ def _reports(text: str) -> Iterator[tuple]:
             yield kind, relative, sha, size, json.dumps(x, sort_keys=True, separators=(",", ":"))
 
 
-_FOUND = pa.schema([
-    ("file_id", pa.int64()), ("report_type", pa.string()), ("relative", pa.string()), ("sha256", pa.string()),
-    ("size", pa.int64()), ("report", pa.string()),
-])
+_FOUND = pa.schema([("report_type", pa.string()), ("relative", pa.string()), ("sha256", pa.string()), ("size", pa.int64()), ("report", pa.string())])
 
 
 def report_objects(files: DataFrame) -> DataFrame:
-    """(file_id, report_type, relative, sha256, size, report) for each complete report in ``content``.
+    """(file_id, modified_at, report_type, relative, sha256, size, report) for each complete report in ``content``.
 
     ``report`` is the object as JSON with sorted keys. Null and empty contents give no row. One
     long text is read whole by one task; texts are independent of each other.
@@ -59,16 +56,20 @@ def report_objects(files: DataFrame) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            rows = []
-            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, owners = [], []
+            for at, content in enumerate(batch.column(2)):
                 if content.is_valid:
-                    rows += [(file_id, *x) for x in _reports(content.as_py())]
+                    found = list(_reports(content.as_py()))
+                    rows += found
+                    owners += [at] * len(found)
             columns = list(zip(*rows)) if rows else [[] for _ in _FOUND]
-            yield pa.RecordBatch.from_arrays([pa.array(_utf8(c), t.type) for c, t in zip(columns, _FOUND)], schema=_FOUND)
+            own = batch.select([0, 1]).take(pa.array(owners, pa.int64()))
+            arrays = [*own.columns, *(pa.array(_utf8(c), t.type) for c, t in zip(columns, _FOUND))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*own.schema.names, *_FOUND.names])
 
-    return files.select("file_id", "content").mapInArrow(
-        scan, "file_id bigint, report_type string, relative string, sha256 string, size bigint, report string"
-    )
+    kept = files.select("file_id", "modified_at", "content")
+    time = kept.schema["modified_at"].dataType.simpleString()
+    return kept.mapInArrow(scan, f"file_id bigint, modified_at {time}, report_type string, relative string, sha256 string, size bigint, report string")
 
 
 def _utf8(values) -> list:

@@ -153,12 +153,12 @@ def test_compaction(spark):
         (8, json.dumps(elf("r/q/long", "ff", note="x" * 300_000)), day(3)), (9, json.dumps(elf("r/q/\ud800", "99")), day(3)),
     ]
     files = spark.createDataFrame(texts, "file_id bigint, content string, modified_at timestamp_ntz")
-    out = compaction.compact(report_objects(files), files, file_bytes=100_000)
+    out = compaction.compact(report_objects(files), file_bytes=100_000)
     got = {(r.report_type, r.relative, r.sha256): json.loads(r.report) for r in out.records.collect()}
     assert set(got) == {("elf", "r/p/a", "aa"), ("elf", "r/p/b", "bb"), ("elf", "r/p/d", "dd"), ("elflint", "r/p/a", "aa"), ("elf", "r/q/long", "ff"), ("elf", "r/q/?", "99")}
     assert got["elf", "r/p/a", "aa"]["new"] == 1 and len(got["elf", "r/q/long", "ff"]["note"]) == 300_000
     assert out.records.count() == 6 and out.n_files >= 3
-    assert compaction.compact(report_objects(files.limit(0)), files, 1000).records.count() == 0
+    assert compaction.compact(report_objects(files.limit(0)), 1000).records.count() == 0
 
 
 def test_files_are_balanced(spark):

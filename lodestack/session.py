@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -55,6 +54,8 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = f"{shared_folder(spark)}/lodestack-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,11 +66,3 @@ def release(spark: SparkSession) -> None:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _remove_local() -> None:
-    for path in _written:
-        local = path.removeprefix("file://").removeprefix("file:")
-        if os.path.isabs(local):
-            shutil.rmtree(local, ignore_errors=True)

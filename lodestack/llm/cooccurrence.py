@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.records import keys_of, record_id
+from lodestack.operators.skew import salted_lookup
 from lodestack.session import materialise
 
 #: Items of a record block; entries of a product that are held at a time.
@@ -72,7 +73,7 @@ def _gram(frequent: bytes | None):
     """Products of record blocks; items whose sketch counter is too small are left out."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if frequent is None else np.unpackbits(np.frombuffer(frequent, np.uint8))
+        bits = None if frequent is None else np.unpackbits(np.frombuffer(frequent, np.uint8), bitorder="little")
         held: list[tuple[pa.Array, np.ndarray]] = []
         size = 0
 
@@ -112,17 +113,20 @@ def pair_counts(own: DataFrame, least: int = 1) -> DataFrame:
     frequent = None
     if least > 1:
         counted = own.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        bits = np.zeros(SKETCH, np.uint8)
-        bits[[r.slot for r in counted.select("slot").collect()]] = 1
-        frequent = np.packbits(bits).tobytes()
-    parts = own.select("items", slots.alias("slots")).mapInArrow(_gram(frequent), "item_a string, item_b string, n bigint")
+        at = F.col("slot") + 1
+        maps = counted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        frequent = bytearray(SKETCH // 8)
+        for row in maps.collect():  # at most 32 rows of 4 KB
+            frequent[(row.part - 1) * 4096 : row.part * 4096] = row.bits
+    parts = own.select("items", slots.alias("slots")).mapInArrow(_gram(frequent and bytes(frequent)), "item_a string, item_b string, n bigint")
     gram = parts.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= least)
     gram = materialise(gram, "gram")
     diagonal = gram.where("item_a = item_b")
     a = diagonal.select("item_a", F.col("n_ab").alias("n_a"))
     b = diagonal.select("item_b", F.col("n_ab").alias("n_b"))
     lift = F.lit(float(total)) * F.col("n_ab") / (F.col("n_a").cast("double") * F.col("n_b"))
-    return gram.where("item_a < item_b").join(a, "item_a").join(b, "item_b").select(
+    pairs = salted_lookup(salted_lookup(gram.where("item_a < item_b"), a, "item_a"), b, "item_b")
+    return pairs.select(
         "item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(total).alias("n"), lift.alias("lift")
     )
 

@@ -37,16 +37,31 @@ SEGMENT_TYPES = {
 # Instruction-set levels in ascending order.
 ISA_LEVELS = ("x86-64-baseline", "x86-64-v2", "x86-64-v3", "x86-64-v4")
 
-# Substrings of an error text and the failure they stand for, first match wins.
-FAILURES = (
-    ("Error relocating", "relocation"),
-    ("Error loading shared library", "missing library"),
-    ("symbol not found", "missing symbol"),
-    ("Segmentation fault", "crash"),
-    ("timeout", "timeout"),
-)
-
-_WORD_FLAGS = 0xFFFFFFFF
+# Parts of an error text that name a failure, first match wins.
+FAILURES = ("symbol lookup error", "cannot open shared object", "undefined symbol", "no version information", "timeout after")
+
+# Bits and names of the second word of dynamic flags.
+DYNAMIC_FLAGS = (
+    (0x1, "DF_1_NOW"), (0x2, "DF_1_GLOBAL"), (0x4, "DF_1_GROUP"), (0x8, "DF_1_NODELETE"), (0x10, "DF_1_LOADFLTR"), (0x20, "DF_1_INITFIRST"),
+    (0x40, "DF_1_NOOPEN"), (0x80, "DF_1_ORIGIN"), (0x100, "DF_1_DIRECT"), (0x200, "DF_1_TRANS"), (0x400, "DF_1_INTERPOSE"), (0x800, "DF_1_NODEFLIB"),
+    (0x1000, "DF_1_NODUMP"), (0x2000, "DF_1_CONFALT"), (0x4000, "DF_1_ENDFILTEE"), (0x8000, "DF_1_DISPRELDNE"), (0x10000, "DF_1_DISPRELPND"),
+    (0x20000, "DF_1_NODIRECT"), (0x40000, "DF_1_IGNMULDEF"), (0x80000, "DF_1_NOKSYMS"), (0x100000, "DF_1_NOHDR"), (0x200000, "DF_1_EDITED"),
+    (0x400000, "DF_1_NORELOC"), (0x800000, "DF_1_SYMINTPOSE"), (0x1000000, "DF_1_GLOBAUDIT"), (0x2000000, "DF_1_SINGLETON"), (0x8000000, "DF_1_PIE"),
+)
+
+# Bits and names of the origin of a search path.
+SEARCH_FLAGS = ((1, "LA_SER_ORIG"), (2, "LA_SER_LIBPATH"), (4, "LA_SER_RUNPATH"), (8, "LA_SER_CONFIG"), (64, "LA_SER_DEFAULT"), (128, "LA_SER_SECURE"))
+
+# Tags that every dynamic section has, and tags that need others.
+MANDATORY_TAGS = ("STRTAB", "SYMTAB", "STRSZ", "SYMENT")
+TAG_NEEDS = (
+    ("NEEDED", "STRTAB"), ("PLTRELSZ", "JMPREL"), ("HASH", "SYMTAB"), ("STRTAB", "STRSZ"), ("SYMTAB", "STRTAB"), ("SYMTAB", "SYMENT"), ("RELA", "RELASZ"),
+    ("RELA", "RELAENT"), ("RELASZ", "RELA"), ("RELAENT", "RELA"), ("STRSZ", "STRTAB"), ("SYMENT", "SYMTAB"), ("SONAME", "STRTAB"), ("RPATH", "STRTAB"),
+    ("REL", "RELSZ"), ("REL", "RELENT"), ("RELSZ", "REL"), ("RELENT", "REL"), ("JMPREL", "PLTRELSZ"), ("JMPREL", "PLTREL"), ("RUNPATH", "STRTAB"),
+    ("PLTREL", "JMPREL"), ("GNU_HASH", "SYMTAB"),
+)
+# Tags that may occur more than once.
+REPEATABLE_TAGS = ("NEEDED", "NULL", "POSFLAG_1", "AUXILIARY", "FILTER")
 
 
 def template(message: Column) -> Column:
@@ -127,7 +142,8 @@ def split_version(text: Column) -> list[Column]:
 
 
 def isa_rank(level: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ISA_LEVELS)), level), F.lit(0)).cast("int") - 1, F.lit(-1))
+    """1 for the lowest level; 0 for others and null."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, ISA_LEVELS)), level).cast("int"), F.lit(0))
 
 
 def is_power_of_two(value: Column) -> Column:
@@ -164,11 +180,9 @@ def unsigned(hex_text: Column) -> Column:
 
 
 def failure(error: Column) -> Column:
-    """The known failure that the text names, else its first 160 characters."""
-    out = None
-    for part, name in FAILURES:
-        out = F.when(error.contains(part), name) if out is None else out.when(error.contains(part), name)
-    return out.otherwise(F.substring(error, 1, 160))
+    """The first known part that the text holds, else its first 160 characters."""
+    known = F.coalesce(*[F.when(error.contains(part), part) for part in FAILURES])
+    return F.coalesce(known, F.substring(error, 1, 160))
 
 
 def dependency_names(field: Column) -> Column:

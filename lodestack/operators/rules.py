@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import SEGMENT_TYPES, is_congruent, is_power_of_two
+from lodestack.functions.scalars import MANDATORY_TAGS, REPEATABLE_TAGS, SEGMENT_TYPES, is_congruent, is_power_of_two, parse_integer
 from lodestack.functions.records import term
 
 
@@ -162,6 +162,33 @@ def segment_order(reports: DataFrame, key: str) -> DataFrame:
     )
 
 
+def dynamic_rules(entries: str = "dynamic", image: str = "elf_type in (2, 3)", fixed: str = "elf_type = 2") -> list[Rule]:
+    """Rules on a dynamic section, an array of (tag, value) in file order, ``NULL`` included.
+
+    ``image`` tells executables and shared objects, ``fixed`` executables of fixed address;
+    ``interpreted`` is a boolean column. Rules per tag count once per file here.
+    """
+    tags = F.transform(entries, lambda e: e["tag"])
+    has = lambda tag: F.array_contains(tags, tag)
+    some = F.size(tags) > 0
+    repeated = F.size(F.filter(F.array_distinct(tags), lambda t: ~t.isin(*REPEATABLE_TAGS) & (F.size(F.filter(tags, lambda o: o == t)) > 1)))
+    plt = F.try_element_at(F.filter(entries, lambda e: e["tag"] == "PLTREL"), F.lit(-1))["value"]
+    end = F.array_position(tags, "NULL")
+    later = F.exists(F.slice(tags, F.greatest(end, F.lit(1)).cast("int"), F.greatest(F.size(tags), F.lit(0))), lambda t: t != "NULL")
+    return [
+        Rule("dyn_textrel", has("TEXTREL")),
+        Rule("dyn_unknown_tag", F.exists(tags, lambda t: t.startswith("Unknown"))),
+        Rule("dyn_entries_after_null", (end > 0) & later),
+        Rule("dyn_duplicate_tag", repeated > 0),
+        Rule("dyn_pltrel_bad_value", plt.isNotNull() & ~parse_integer(plt).isin(7, 17)),
+        Rule("dyn_missing_mandatory", some & F.expr(image) & ~F.forall(F.array(*map(F.lit, MANDATORY_TAGS)), lambda t: F.array_contains(tags, t))),
+        Rule("dyn_rpath_and_runpath", has("RPATH") & has("RUNPATH")),
+        Rule("dyn_no_hash", some & F.expr(image) & ~has("HASH") & ~has("GNU_HASH")),
+        Rule("dyn_static_exec_with_dynamic", F.expr(fixed) & ~F.col("interpreted") & some),
+        Rule("dyn_empty", F.expr(image) & ~some),
+    ]
+
+
 def missing_tags(rows: DataFrame, key: str, tags: str, needs: DataFrame) -> DataFrame:
     """(key, tag, needs): rules (tag, needs) whose tag a file has without what it needs; the rule table is broadcast."""
     own = rows.select(key, F.explode(F.array_distinct(tags)).alias("tag"), F.col(tags).alias("_tags"))

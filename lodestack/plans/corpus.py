@@ -69,8 +69,8 @@ def lint_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return lint.outcomes(table(spark, d, "elflint_reports"), ["elf_kind"])
 
 
-@query("""select return_code, case when e like '%Error relocating%' then 'relocation' when e like '%Error loading shared library%' then 'missing library' when e like '%symbol not found%' then 'missing symbol'
-    when e like '%Segmentation fault%' then 'crash' when e like '%timeout%' then 'timeout' else e[1:160] end as signature, count(*) as n
+@query("""select return_code, case when contains(e, 'symbol lookup error') then 'symbol lookup error' when contains(e, 'cannot open shared object') then 'cannot open shared object' when contains(e, 'undefined symbol') then 'undefined symbol'
+    when contains(e, 'no version information') then 'no version information' when contains(e, 'timeout after') then 'timeout after' else e[1:160] end as signature, count(*) as n
     from (select return_code, coalesce(stderr_first_line, '(none)') as e from elflint_reports where status in ('failed', 'timeout')) group by all""")
 def lint_failures(spark: SparkSession, d: str) -> DataFrame:
     return lint.failures(table(spark, d, "elflint_reports"))

@@ -23,7 +23,7 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("section [ 7] '.relro_padding' has wrong type: expected RELR, is NOBITS", "section [N] 'STR' has wrong type: expected RELR, is NOBITS"),
+    ("table [ 31] of 'abc' (very odd) ends at 77", "table [N] of 'STR' (STR) ends at N"),
     (" at 0x1F  of (x, y)\t12 ", "at 0xN of (STR) N"), ("", ""), (None, None),
 ])
 def test_template(spark, text, want):
@@ -38,10 +38,10 @@ def test_scalars(spark):
         (S.permission(L(7)), "RWX"), (S.permission(L(0)), "(none)"), (S.run_path_style(L("$ORIGIN/../lib")), "$ORIGIN"), (S.run_path_style(L("/lib")), "absolute"),
         (S.run_path_style(L("a/b")), "relative-multi"), (S.run_path_style(L("a")), "relative-bare"), (S.search_path(L("/a:$ORIGIN/x::b"), "/root"), ["/root/a", "b"]),
         (S.bucket(L(0.5), S.BSS_CUTS, ">0.9"), "0.1-0.5"), (S.bucket(L(0.91), S.BSS_CUTS, ">0.9"), ">0.9"), (S.version_numbers(L("1.10")), [1, 10]), (S.version_numbers(L("1.x")), None),
-        (S.isa_rank(L("x86-64-v3")), 2), (S.isa_rank(L("?")), -1), (S.is_power_of_two(L(4096)), True), (S.is_power_of_two(L(0)), False), (S.is_congruent(L(0x2010), L(0x10), L(0x1000)), True),
+        (S.isa_rank(L("x86-64-v3")), 3), (S.isa_rank(L("?")), 0), (S.is_power_of_two(L(4096)), True), (S.is_power_of_two(L(0)), False), (S.is_congruent(L(0x2010), L(0x10), L(0x1000)), True),
         (S.relocation_family(L("R_X86_64_IRELATIVE")), "ifunc"), (S.relocation_family(L("R_X86_64_RELATIVE")), "relative"), (S.relocation_family(L("R_X86_64_COPY")), "copy"),
         (S.relocation_family(L("R_X86_64_JUMP_SLOT")), "plt"), (S.relocation_family(L("R_X86_64_tpoff64")), "tls"), (S.parse_integer(L("0x11")), 17), (S.parse_integer(L("7")), 7), (S.parse_integer(L("q")), -1),
-        (S.failure(L("xx Segmentation fault")), "crash"), (S.failure(L("y" * 200)), "y" * 160), (S.dependency_names(L("so:x=1.2 !bad pkg>=1 ")), ["so:x", "pkg"]), (S.conflict_names(L("a !bad<2")), ["bad"]),
+        (S.failure(L("x: undefined symbol: y")), "undefined symbol"), (S.joined_flags(L(0x8000001), S.DYNAMIC_FLAGS, "", ""), "DF_1_NOW|DF_1_PIE"), (S.joined_flags(L(65), S.SEARCH_FLAGS, "LA_SER_NONE", "LA_SER_OTHER"), "LA_SER_ORIG|LA_SER_DEFAULT"), (S.failure(L("y" * 200)), "y" * 160), (S.dependency_names(L("so:x=1.2 !bad pkg>=1 ")), ["so:x", "pkg"]), (S.conflict_names(L("a !bad<2")), ["bad"]),
         (S.package_name(L("zlib-dev-1.2-r3")), "zlib-dev"), (S.enum_name(L("SharedObject (0x3)")), "SharedObject"), (S.enum_name(L('{"Name": "X", "Value": 3}')), "X"), (S.resolved_path(L("a/./b/../c")), "a/c"),
         (S.resolved_path(L("../c")), None), (S.resolved_path(L("/c")), None),
     ]
@@ -154,7 +154,7 @@ def test_lint(spark):
     assert {(r.bucket, r.n) for r in lint.findings_histogram(df).collect()} == {("2-5", 2), ("0", 1)}
     outcome = lint.outcomes(df.withColumn("g", F.lit(1)), ["g"]).first()
     assert (outcome.runs, outcome.dirty, outcome.failed, outcome.any_dirty, outcome.findings) == (4, 2, 1, True, 4)
-    assert [(r.signature, r.n) for r in lint.failures(df).collect()] == [("timeout", 1)]
+    assert [(r.signature, r.n) for r in lint.failures(df).collect()] == [("timeout after", 1)]
 
 
 def test_incremental(spark):
@@ -221,6 +221,25 @@ def test_rules(spark):
     assert [tuple(r) for r in rules.missing_tags(tags, "id", "tags", needs).collect()] == [(1, "RELA", "RELAENT")]
 
 
+def test_dynamic_rules(spark):
+    full = [("NEEDED", "1"), ("NEEDED", "2"), ("STRTAB", "0"), ("SYMTAB", "0"), ("STRSZ", "0"), ("SYMENT", "0"), ("GNU_HASH", "0"), ("NULL", "0"), ("NULL", "0")]
+    rows = [
+        (1, 3, True, full), (2, 3, True, full + [("TEXTREL", "0"), ("Unknown", "0")]), (3, 2, False, [("STRTAB", "0"), ("STRTAB", "0"), ("PLTREL", "0x11"), ("RPATH", "a"), ("RUNPATH", "b")]),
+        (4, 3, True, []), (5, 1, False, []), (6, 3, True, None), (7, 3, True, full[:-2] + [("PLTREL", "9")]),
+    ]
+    df = spark.createDataFrame(rows, "id int, elf_type int, interpreted boolean, dynamic array<struct<tag:string,value:string>>")
+    found = {}
+    for r in rules.anomalies(df, rules.dynamic_rules(), ["id"]).collect():
+        found.setdefault(r.id, set()).add(r.anomaly.removeprefix("dyn_"))
+    assert found == {
+        2: {"textrel", "unknown_tag", "entries_after_null"}, 3: {"duplicate_tag", "missing_mandatory", "rpath_and_runpath", "no_hash", "static_exec_with_dynamic"},
+        4: {"empty"}, 7: {"pltrel_bad_value"},
+    }
+    tags = df.select("id", F.transform("dynamic", lambda e: e["tag"]).alias("tags"))
+    missing = rules.missing_tags(tags, "id", "tags", spark.createDataFrame(S.TAG_NEEDS, "tag string, needs string"))
+    assert {tuple(r) for r in missing.where("id = 3").collect()} == {(3, "STRTAB", "STRSZ"), (3, "PLTREL", "JMPREL")}
+
+
 def test_package_sources(spark, tmp_path):
     info = spark.createDataFrame([("p", "# c\npkgname = zlib\n\ndepend = a = b\ndepend=c\nnothing\n")], "package string, text string")
     assert {r.key: r["values"] for r in packages.metadata(info).collect()} == {"pkgname": ["zlib"], "depend": ["a = b", "c"]}
@@ -268,7 +287,7 @@ def test_streams(spark, tmp_path):
         return spark.table(name)
 
     counts = run(arrivals.counts_by_window(stream, "at", ["event"]), "counts", "append")
-    assert {(r.event, r.n) for r in counts.collect()} == {("consistent", 1), ("reloc", 1)} or counts.count() == 3
+    assert {(r.event, r.n) for r in counts.collect()} >= {("consistent", 1), ("reloc", 1)} and counts.agg(F.sum("n")).first()[0] in (3, 4)
     states = run(arrivals.run_states(stream), "states", "update")
     assert {(r.file, r.relocations, r.ok) for r in states.collect()} == {("f", 1, True), ("g", 2, False), ("z", 0, False)}
     assert run(arrivals.first_seen(stream, ["file"], "at"), "seen", "append").count() <= 4

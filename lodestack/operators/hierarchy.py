@@ -35,20 +35,23 @@ def library_edges(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, sure.groupBy("node").agg(F.min("parent").alias("parent"))
 
 
-def _round(state: DataFrame, number: int) -> DataFrame:
-    """One peel: leaves are marked and report to their parents; a single map-side combined shuffle."""
+def _round(state: DataFrame) -> DataFrame:
+    """One peel: leaves are marked and report to their parents; a single map-side combined shuffle.
+
+    The number of the round is a column, so that all rounds share the code that Spark generates.
+    """
     leaf = (F.col("missing") == 0) & F.col("height").isNull()
-    none = F.lit(None)
-    own = F.struct("node", "parent", "missing", "size", F.when(leaf, F.lit(number)).otherwise(F.col("height")).alias("height"))
+    none, then = F.lit(None), (F.col("round") + 1).alias("round")
+    own = F.struct("node", "parent", "missing", "size", F.when(leaf, F.col("round")).otherwise(F.col("height")).alias("height"), then)
     told = F.struct(
         F.when(leaf, F.col("parent")).alias("node"), none.cast("string").alias("parent"), F.lit(-1).cast("bigint").alias("missing"),
-        F.col("size"), none.cast("int").alias("height"),
+        F.col("size"), none.cast("int").alias("height"), then,
     )
     return (
         state.select(F.inline(F.array(own, told)))
         .where("node is not null")
         .groupBy("node")
-        .agg(F.max("parent").alias("parent"), F.sum("missing").alias("missing"), F.sum("size").alias("size"), F.max("height").alias("height"))
+        .agg(*[f(c).alias(c) for f, c in ((F.max, "parent"), (F.sum, "missing"), (F.sum, "size"), (F.max, "height"), (F.max, "round"))])
     )
 
 
@@ -63,12 +66,12 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = (
         parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("node")
         .agg(F.max("parent").alias("parent"), F.sum("missing").alias("missing"), F.sum("size").alias("size"))
-        .withColumn("height", F.lit(None).cast("int"))
+        .withColumn("height", F.lit(None).cast("int")).withColumn("round", F.lit(0))
     )
     peeled, number, jobs = [], 0, 0
     while True:
         for _ in range(ROUNDS[min(jobs, len(ROUNDS) - 1)]):
-            state = _round(state, number)
+            state = _round(state)
             number += 1
         state, jobs = materialise(state, f"peel{jobs}"), jobs + 1
         peeled.append(state.where("height is not null"))

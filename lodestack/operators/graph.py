@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.operators.skew import salted_lookup
 from lodestack.session import materialise
 
+#: Stands for the path of all files without one while files are joined by path.
+_NO_PATH = "\0"
+
 
 def first_provider(libraries: DataFrame) -> DataFrame:
     """(soname, provider): of several files that provide a soname, the first path in byte order."""
@@ -57,21 +61,19 @@ def version_mismatches(required: DataFrame, declared: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(root, node, depth): what each source reaches along (src, dst), with the fewest steps.
 
-    A node is in its own closure only where a cycle leads back to it. Reach is doubled: what is
-    known for k steps is joined with itself to 2k steps, so a graph of depth d takes log2(d)
-    jobs; each result is written, which keeps the plan short.
+    A node is in its own closure only where a cycle leads back to it. Reach is doubled: whatever
+    lies up to 2k steps away lies up to k steps behind a node exactly k steps away, so a graph of
+    depth d takes log2(d) joins; each result is written, which keeps the plan short.
     """
     reach = edges.where("src is not null and dst is not null").select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
     reach = materialise(reach.withColumn("depth", F.lit(1)), "reach")
-    before = None
-    while True:
-        size = reach.agg(F.count("*"), F.sum("depth")).first()
-        if size == before:
-            return reach
-        before = size
+    steps = 1
+    while not (ends := reach.where(F.col("depth") == steps)).isEmpty():
         on = reach.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
-        longer = reach.join(on, "node").select("root", F.col("far").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = ends.join(on, "node").select("root", F.col("far").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
         reach = materialise(reach.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth")), "reach")
+        steps *= 2
+    return reach
 
 
 def cycles(reach: DataFrame) -> DataFrame:
@@ -109,6 +111,81 @@ def shadowing(direct: DataFrame, reach: DataFrame, exports: DataFrame) -> DataFr
     return counted.where("n_direct > 0 and n_indirect > 0")
 
 
+def file_edges(libraries: DataFrame) -> DataFrame:
+    """(path, soname, node, times): what each file needs, whether or not it has a soname itself.
+
+    ``libraries`` (path, soname, needed). ``node`` is the path of the first provider, null where nothing
+    provides the soname; ``times`` is how often one row of the file lists it at most. The rows of
+    a path are one file, and so are all rows without a path. Files that need nothing have no row.
+    """
+    path = F.coalesce("path", F.lit(_NO_PATH))
+    count = lambda k: F.struct(k.alias("soname"), F.size(F.filter("needed", lambda x: x == k)).alias("times"))
+    listed = libraries.select(path.alias("path"), F.inline(F.transform(F.array_distinct("needed"), count)))
+    entries = materialise(listed.groupBy("path", "soname").agg(F.max("times").alias("times")), "entries")
+    first = first_provider(libraries).select("soname", F.coalesce("provider", F.lit(_NO_PATH)).alias("node"))
+    return materialise(salted_lookup(entries, first, "soname").select("path", "soname", "node", "times"), "file-edges")
+
+
+def file_reach(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(path, node, depth): the providers that each file of ``file_edges`` reaches, itself left out, with the fewest steps.
+
+    Only providers are walked from; a file has what its direct picks reach, one step further. With
+    ``kept`` (node), only these nodes come out.
+    """
+    picks = materialise(edges.where("node is not null").select("path", "node").distinct(), "picks")
+    among = picks.join(picks.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
+    reach = closure(among.select(F.col("path").alias("src"), F.col("node").alias("dst")))
+    direct = picks
+    if kept is not None:
+        reach, direct = reach.join(kept, "node", "left_semi"), picks.join(kept, "node", "left_semi")
+    behind = reach.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
+    further = salted_lookup(picks, behind, "node").where("far is not null").select("path", F.col("far").alias("node"), (F.col("more") + 1).alias("depth"))
+    rows = direct.select("path", "node", F.lit(1).alias("depth")).unionByName(further).where("path <> node")
+    return materialise(rows.groupBy("path", "node").agg(F.min("depth").alias("depth")), "file-reach")
+
+
+def _path() -> Column:
+    return F.nullif(F.col("path"), F.lit(_NO_PATH)).alias("path")
+
+
+def file_closures(edges: DataFrame) -> DataFrame:
+    """(path, nodes, external, depth) of each file that needs anything: providers that it reaches, distinct sonames
+    that it or one of them needs and nothing provides, and steps to the farthest provider."""
+    reach = file_reach(edges)
+    missing = edges.where("node is null").groupBy("path").agg(F.collect_set("soname").alias("missing"))  # as long as one file's list at most
+    behind = salted_lookup(reach, missing.withColumnRenamed("path", "node"), "node").select("path", F.explode("missing").alias("soname"))
+    lost = behind.unionByName(edges.where("node is null").select("path", "soname")).distinct()
+    sizes = reach.groupBy("path").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    files = edges.select("path").distinct().join(sizes, "path", "left").join(lost.groupBy("path").agg(F.count("*").alias("external")), "path", "left")
+    return files.select(_path(), none("nodes"), none("external"), none("depth"))
+
+
+def file_diamonds(edges: DataFrame) -> DataFrame:
+    """(path, nodes, edges, extra) of each file that needs anything: resolved entries of the file and of all that it reaches, beyond those of a tree.
+
+    Entries count as often as they are listed, those that lead back too. Files that reach nothing keep a row with ``nodes`` = 0.
+    """
+    out = edges.groupBy("path").agg(F.coalesce(F.sum(F.when(F.col("node").isNotNull(), F.col("times"))), F.lit(0)).alias("_out"))
+    reached = salted_lookup(file_reach(edges), out.withColumnRenamed("path", "node"), "node").select("path", F.lit(1).alias("_node"), "_out")
+    rows = reached.unionByName(out.select("path", F.lit(0).alias("_node"), "_out"))
+    per_file = rows.groupBy("path").agg(F.sum("_node").alias("nodes"), F.coalesce(F.sum("_out"), F.lit(0)).alias("edges"))
+    return per_file.select(_path(), "nodes", "edges", (F.col("edges") - F.col("nodes")).alias("extra"))
+
+
+def file_shadowing(edges: DataFrame, exports: DataFrame) -> DataFrame:
+    """(path, symbol, n_direct, n_indirect): symbols that both a direct and an only indirect provider of a file define.
+
+    ``exports`` (node, symbol), the node being a path. A symbol that one file alone defines is passed over before the join.
+    """
+    defined = exports.where("node is not null and symbol is not null").distinct()
+    shared = materialise(defined.join(defined.groupBy("symbol").agg(F.count("*").alias("_n")).where("_n > 1"), "symbol", "left_semi"), "shared")
+    reach = file_reach(edges, shared.select("node").distinct())
+    near = (F.col("depth") == 1).cast("bigint")
+    counted = reach.join(shared, "node").groupBy("path", "symbol").agg(F.sum(near).alias("n_direct"), F.sum(1 - near).alias("n_indirect"))
+    return counted.where("n_direct > 0 and n_indirect > 0").select(_path(), "symbol", "n_direct", "n_indirect")
+
+
 def package_picks(dependencies: DataFrame, providers: DataFrame) -> DataFrame:
     """(name, dep, pick, priority): for each dependency the provider with the highest priority, ties by name.
 

@@ -399,6 +399,27 @@ def shadowed_symbols(spark: SparkSession, d: str) -> DataFrame:
     return graph.shadowing(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")), graph.closure(edges), exports)
 
 
+def _file_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.file_edges(_libraries(spark, d))
+
+
+@query()
+def file_closures(spark: SparkSession, d: str) -> DataFrame:
+    """As ``closure_sizes``, for each file that needs anything, programs too, by the first provider of each soname."""
+    return graph.file_closures(_file_edges(spark, d))
+
+
+@query()
+def file_diamonds(spark: SparkSession, d: str) -> DataFrame:
+    return graph.file_diamonds(_file_edges(spark, d))
+
+
+@query()
+def file_shadowing(spark: SparkSession, d: str) -> DataFrame:
+    exports = table(spark, d, "graph_record").where(library_key(F.col("soname")).isNotNull()).select(F.col("path").alias("node"), F.explode("exports").alias("symbol"))
+    return graph.file_shadowing(_file_edges(spark, d), exports)
+
+
 @query("""with paths as (select unnest(coalesce(rpath, [])) as p, 'rpath' as field from program_reports union all select unnest(coalesce(runpath, [])), 'runpath' from program_reports)
     select field, case when p like '%$ORIGIN%' or p like '%${ORIGIN}%' then '$ORIGIN' when p like '/%' then 'absolute' when p like '%/%' then 'relative-multi' when p is not null then 'relative-bare' end as style, count(*) as n from paths group by all""")
 def run_path_styles(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import gzip
 import io
 import json
+import random
 import struct
 import tarfile
 
@@ -113,6 +114,48 @@ def test_closure_cycles_diamonds_shadowing(spark):
     assert graph.closure(edges.limit(0)).count() == 0
 
 
+def test_programs_have_closures_diamonds_and_shadowing(spark):
+    """Every file that needs anything, against a walk per file; programs have no soname."""
+    random.seed(3)
+    rows = [(f"lib/{i:02}", f"s{i % 25:02}", [f"s{random.randrange(25):02}" for _ in range(random.randrange(3))] + ["gone"] * (i % 9 == 0)) for i in range(30)]
+    rows += [(f"lib/chain{i:02}", f"c{i:02}", [f"c{i + 1:02}"]) for i in range(11)]
+    rows += [(f"bin/{i}", None, [f"s{random.randrange(25):02}" for _ in range(3)] + [f"x{i % 2}"] * (i % 4 == 0)) for i in range(40)]
+    rows += [("bin/deep", None, ["c00", "c00"]), ("bin/built-twice", None, ["s01"]), ("bin/built-twice", None, ["s02", "x0"]), ("bin/alone", None, ["x0"]), ("bin/none", None, []), (None, None, ["s03"])]
+    libraries = spark.createDataFrame(rows, "path string, soname string, needed array<string>")
+    first, needs = {}, {}
+    for path, soname, needed in rows:
+        if soname:
+            first[soname] = min(path, first.get(soname, path))
+        for k in needed:
+            own = needs.setdefault(path, {})
+            own[k] = max(own.get(k, 0), needed.count(k))
+    picks = {p: {first[k] for k in own if k in first} for p, own in needs.items()}
+    shapes, reached = {}, {}
+    for start in needs:
+        level, seen, depth = {start}, {start}, 0
+        while level := {b for a in level for b in picks.get(a, ())} - seen:
+            seen, depth = seen | level, depth + 1
+        reached[start] = seen - {start}
+        edges = sum(n for a in seen for k, n in needs.get(a, {}).items() if k in first)
+        shapes[start] = (len(seen) - 1, len({k for a in seen for k in needs.get(a, ()) if k not in first}), depth, edges, edges - len(seen) + 1)
+    of_files = graph.file_edges(libraries)
+    assert {r.path: (r.nodes, r.external, r.depth) for r in graph.file_closures(of_files).collect()} == {p: x[:3] for p, x in shapes.items()}
+    assert {r.path: (r.nodes, r.edges, r.extra) for r in graph.file_diamonds(of_files).collect()} == {p: (x[0], *x[3:]) for p, x in shapes.items()}
+    assert shapes["bin/deep"][:4] == (11, 1, 11, 12) and shapes["bin/alone"] == (0, 1, 0, 0, 0) and len(shapes) > 70
+    defines = {p: {f"f{i % 5}", f"own{i}"} for i, (p, s, _) in enumerate(rows) if s}
+    want = {}
+    for p, nodes in reached.items():
+        direct = picks[p] - {p}
+        for symbol in {x for n in nodes for x in defines.get(n, ())}:
+            near, far = (sum(symbol in defines.get(n, ()) for n in part) for part in (direct, nodes - direct))
+            if near and far:
+                want[p, symbol] = (near, far)
+    exports = spark.createDataFrame([(p, x) for p, symbols in defines.items() for x in symbols] * 2, "node string, symbol string")
+    got = {(r.path, r.symbol): (r.n_direct, r.n_indirect) for r in graph.file_shadowing(of_files, exports).collect()}
+    assert got == want and any(p and p.startswith("bin/") for p, _ in want)
+    assert graph.file_closures(graph.file_edges(libraries.limit(0))).count() == 0
+
+
 def test_package_picks_and_owners(spark):
     providers = spark.createDataFrame([("t", "b", 1), ("t", "a", 1), ("t", "c", 0)], "tag string, provider string, priority int")
     picks = graph.package_picks(spark.createDataFrame([("r", "t"), ("r", "none")], "name string, dep string"), providers)

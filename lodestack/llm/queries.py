@@ -61,18 +61,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    model = reading.fit(documents, table(spark, d, "reading_labels"))
-    return reading.difficulty(documents.where("lang = 'en'"), model)
+def _model(spark: SparkSession, d: str) -> reading.ReadingModel:
+    return reading.fit(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d).select("doc_id", "band")
+    return reading.difficulty(table(spark, d, "documents").where("lang = 'en'"), _model(spark, d)).select("doc_id", "band")
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:
-    return reading.profile(_levels(spark, d))
+    return reading.corpus_profile(table(spark, d, "documents"), _model(spark, d))
 
 
 QUERIES = {

@@ -158,3 +158,20 @@ def difficulty(documents: DataFrame, model: ReadingModel, least_words: int = 40)
 def profile(levels: DataFrame) -> DataFrame:
     """(band, documents, own_words): how the corpus is spread over the bands."""
     return levels.groupBy("band").agg(F.count("*").alias("documents"), F.sum("own_words").alias("own_words"))
+
+
+def corpus_profile(documents: DataFrame, model: ReadingModel, short: int = 40) -> DataFrame:
+    """(lang, short, band, documents, own_words): how all rows of ``documents`` are spread over the bands.
+
+    ``lang`` is trimmed and in lower case, null stays null. ``short`` marks posts with fewer than ``short``
+    own words; those without any have a null band. Each row counts, copies and rows with a null id
+    too, so ``documents`` adds up to the table.
+    """
+    rows = documents.withColumn("lang", F.lower(F.btrim("lang")))
+    rows = rows.withColumn("doc_id", F.md5(F.to_json(F.struct("doc_id", "lang", "text", "author"))))
+    posts = rows.groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    levels = difficulty(rows, model, least_words=1).select("doc_id", "own_words", "band")  # the words of copies are added up
+    words = F.coalesce("own_words", F.lit(0))
+    return posts.join(levels, "doc_id", "left").groupBy("lang", (words < F.col("n") * short).alias("short"), "band").agg(
+        F.sum("n").alias("documents"), F.sum(words).alias("own_words")
+    )

@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import cooccurrence, leakage, mixing, reading, stable_sample, term_counts
+from lodestack.llm import cooccurrence, leakage, mixing, queries, reading, stable_sample, term_counts
 from lodestack.llm.text import cased_words, own_text, plain, sentences
 
 # ---- problem 1
@@ -230,3 +230,19 @@ def test_reading_levels_on_held_out_posts(spark):
     assert sum(r.band == r.doc_id % 4 + 1 for r in without.where("doc_id between 60 and 119 and doc_id % 4 <> 1").collect()) >= 42
     weights = {(r.doc_id, r.band): r.part for r in reading.graded(graded).collect()}
     assert weights[5, 2] > 0.6 and (3, 9) not in weights
+
+
+def test_profile_counts_every_document(spark, tmp_path):
+    easy, hard = "The cat sat on the big red mat. ", "Heteroscedastic epistemological reification obtains. "
+    docs = [(i, (easy if i % 2 else hard) * 10, "en", "ann") for i in range(20)]
+    docs += [(30, easy * 10, "EN", None), (31, easy * 10, None, None), (32, easy, "en", None), (33, None, "en", None), (34, "[quote]only[/quote]", "de", None), (35, "", None, None)]
+    docs += [(None, easy * 10, "en", None), (None, hard, "en", None)] + [(36, easy * 4, " En ", None)] * 2
+    labels = [(i, g, 1 if i % 2 else 4) for i in range(20) for g in ("g1", "g2")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, author string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, grader string, band int").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    rows = queries.p10_profile(spark, str(tmp_path)).collect()
+    got = {(r.lang, r.short, r.band): (r.documents, r.own_words) for r in rows}
+    assert sum(r.documents for r in rows) == len(docs)
+    assert got["en", False, 1] == (12, 12 * 80) and got["en", False, 4] == (10, 10 * 40)
+    assert got["en", True, 1] == (3, 8 + 2 * 32) and got["en", True, 4] == (1, 4) and got[None, False, 1] == (1, 80)
+    assert got["en", True, None] == got["de", True, None] == got[None, True, None] == (1, 0)

@@ -357,6 +357,19 @@ def version_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return graph.version_mismatches(split(_uses(spark, d)), split(_libraries(spark, d)).select("soname", "verset"))
 
 
+@query("""with asked as (select path, u.r.key as s, unnest(u.r.value) as v from graph_record, unnest(map_entries(verneed)) as u(r)),
+    required as (select path, nullif(regexp_extract(trim(s, E' \\t\\r\\n'), '[^/]*$'), '') as soname, v as verset from asked where v is not null),
+    declared as (select distinct nullif(regexp_extract(trim(soname, E' \\t\\r\\n'), '[^/]*$'), '') as soname, unnest(verdef) as verset from graph_record)
+    select soname, verset, count(distinct path) as n_files from required where soname in (select soname from declared where verset is not null and soname is not null)
+    and not exists (select 1 from declared where declared.soname = required.soname and declared.verset = required.verset) group by all""")
+def verset_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Version sets that a base library requests of a soname whose providers declare others only; reports have no version sets."""
+    rows = table(spark, d, "graph_record")
+    asked = rows.select("path", F.explode("verneed").alias("soname", "versets")).select("path", library_key(F.col("soname")).alias("soname"), F.explode("versets").alias("verset"))
+    declared = rows.select(library_key(F.col("soname")).alias("soname"), F.explode("verdef").alias("verset"))
+    return graph.version_mismatches(asked.where("verset is not null"), declared)
+
+
 @query(_USES + f""", v as (select distinct {_STEM.format('soname', 1)} as stem, {_STEM.format('soname', 2)} as version from lib where regexp_matches({_STEM.format('soname', 2)}, '^[0-9]+(\\.[0-9]+)*$'))
     select stem, arg_max(version, list_transform(string_split(version, '.'), lambda x: x::bigint)) as version from v group by 1""")
 def greatest_versions(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import scalars as S
 from lodestack.operators import graph, incremental, lint, metrics, ranges, rules, sampling
-from lodestack.plans import report
+from lodestack.plans import corpus, report
 from lodestack.sources import elf_binary, packages
 from lodestack.streaming import arrivals
 
@@ -156,6 +156,12 @@ def test_programs_have_closures_diamonds_and_shadowing(spark):
     assert graph.file_closures(graph.file_edges(libraries.limit(0))).count() == 0
 
 
+def test_verset_mismatches_compare_requested_with_declared(spark, tmp_path):
+    rows = [("a", "liba.so.1", None, ["A_1", "A_2"]), ("b", "libb.so.1", {"liba.so.1": ["A_2", "A_3"], "libz.so.1": ["Z_1"], "libc.so.1": ["C_1"]}, None), ("c", "libc.so.1", {"x/liba.so.1": ["A_3", None], "liba.so.1": None}, [])]
+    spark.createDataFrame(rows, "path string, soname string, verneed map<string,array<string>>, verdef array<string>").write.parquet(f"{tmp_path}/graph_record.parquet")
+    assert [tuple(r) for r in corpus.verset_mismatches(spark, str(tmp_path)).collect()] == [("liba.so.1", "A_3", 2)]
+
+
 def test_package_picks_and_owners(spark):
     providers = spark.createDataFrame([("t", "b", 1), ("t", "a", 1), ("t", "c", 0)], "tag string, provider string, priority int")
     picks = graph.package_picks(spark.createDataFrame([("r", "t"), ("r", "none")], "name string, dep string"), providers)

@@ -1,23 +1,27 @@
 """Reading level of what the author of a post wrote, on the scale that graders gave examples of.
 
-Two regularised models, one of words and one of character n-grams, give each sentence a
-distribution over the levels. A post's sentences are averaged by their number of words, and a
+Two regularised multinomial models, one of words and one of character trigrams, give each sentence
+a distribution over the levels. A post's sentences are averaged by their number of words, and a
 calibration, fitted on posts that the sentence models had not seen, turns the averages into a band.
+
+Both models are linear in counts, so a word has one vector of eight weights whatever its sentence:
+fitting is one sum per (fold, model, bucket), and scoring adds up vectors. Neither shuffles a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestack.llm.text import own_text, sentences
+from lodestack.llm.text import lower_words, own_text, sentences
 from lodestack.session import materialise
 
 #: Labelled posts that the models are fitted on; beyond it those with the smallest hash of their id.
@@ -28,37 +32,24 @@ BANDS = (1, 2, 3, 4)
 #: Occurrences that every feature of a model is taken to have besides its own.
 SMOOTHING = 0.2
 MODELS = ("words", "characters")
+#: Words whose vectors a task keeps; one more and it starts afresh.
+KEPT_WORDS = 200_000
+#: The least probability of a level that a sentence is given.
+LEAST = 1e-4
 
+_COLUMNS = [f"{m}{b}" for m in MODELS for b in BANDS]
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def own_sentences(texts: pd.Series, authors: pd.Series) -> pd.Series:
-    return pd.Series([sentences(own_text(t, a)) if t else [] for t, a in zip(texts, authors)], dtype=object)
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
+def own_words(text: str | None, author: str | None) -> list[list[str]]:
+    """The lower-case words of each sentence that the author wrote; none for null and empty texts."""
+    return [w for w in (lower_words(s) for s in sentences(own_text(text, author))) if w] if text else []
 
-def _grams(word: Column) -> Column:
-    """Character trigrams of a word with its ends marked."""
-    marked = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: F.substring(marked, i, F.lit(3)))
 
-
-def sentence_rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, words): one row per sentence of the author's own text, as lower-case words.
-
-    Null and empty texts, and posts that only quote, have none.
-    """
-    rows = documents.select("doc_id", F.explode(own_sentences("text", "author")).alias("sentence"))
-    return rows.select("doc_id", _words(F.col("sentence")).alias("words")).where(F.size("words") > 0)
-
-
-def _vectors(rows: DataFrame) -> DataFrame:
-    grams = F.flatten(F.transform("words", _grams))
-    rows = rows.withColumn("grams", grams)
-    rows = HashingTF(inputCol="words", outputCol="words_x", numFeatures=FEATURES).transform(rows)
-    return HashingTF(inputCol="grams", outputCol="characters_x", numFeatures=FEATURES).transform(rows).drop("grams")
+def buckets(word: str) -> tuple[int, list[int]]:
+    """A word's bucket, and the buckets of its trigrams with its ends marked."""
+    marked = f"^{word}$"
+    of = lambda x: xxhash.xxh64_intdigest(x) % FEATURES
+    return of(word), [of(marked[i : i + 3]) for i in range(len(marked) - 2)]
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -79,85 +70,172 @@ def graded(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", "band", (F.col("odds") / F.sum("odds").over(post)).alias("part"))
 
 
-def _fit(rows: DataFrame, name: str) -> NaiveBayesModel:
-    """A multinomial model, regularised by smoothing; one aggregate over the sentences. Class k is the band k + 1.
-
-    An empty sentence of next to no weight per class keeps the classes in place where a band has no example.
-    """
-    empty = rows.sparkSession.range(len(BANDS)).select(F.col("id").cast("double").alias("class"), F.array().cast("array<string>").alias("words"))
-    known = rows.select(f"{name}_x", "class", "weight").unionByName(_vectors(empty).select(f"{name}_x", "class", F.lit(1e-6).alias("weight")))
-    return NaiveBayes(featuresCol=f"{name}_x", labelCol="class", weightCol="weight", modelType="multinomial", smoothing=SMOOTHING).fit(known)
-
-
-def _calibrate(profiles: DataFrame) -> LogisticRegressionModel:
-    """Logistic regression on the few averages of each post."""
-    return LogisticRegression(featuresCol="x", labelCol="class", weightCol="part", regParam=0.02, maxIter=30, family="multinomial").fit(profiles)
+_SUMS = pa.schema([("fold", pa.int32()), ("model", pa.int32()), ("bucket", pa.int32()), *[(f"c{b}", pa.float64()) for b in BANDS]])
 
 
-def _logs(model: NaiveBayesModel, rows: DataFrame, name: str) -> DataFrame:
-    scored = model.setFeaturesCol(f"{name}_x").setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(rows)
-    probabilities = vector_to_array("_p")
-    return scored.select("*", *[F.log(F.greatest(F.coalesce(F.get(probabilities, b - 1), F.lit(0.0)), F.lit(1e-4))).alias(f"{name}{b}") for b in BANDS]).drop("_p", "_r", "_c")
+def _sums(folds: int):
+    """Rows (text, author, fold, part per band) of graded posts into weighted feature counts, added up within the task.
 
+    Model 2 has one bucket: the weight of the sentences themselves.
+    """
 
-def _profile(models: dict[str, NaiveBayesModel], rows: DataFrame, keep: list[str]) -> DataFrame:
-    """(*keep, own_words, x): the averages over a post's sentences of the logarithms of both models."""
-    for name in MODELS:
-        rows = _logs(models[name], rows, name)
-    n = F.size("words")
-    columns = [f"{name}{b}" for name in MODELS for b in BANDS]
-    sums = rows.groupBy(*keep).agg(F.sum(n).alias("own_words"), *[(F.sum(F.col(c) * n) / F.sum(n)).alias(c) for c in columns])
-    return sums.select(*keep, "own_words", array_to_vector(F.array(*columns)).alias("x"))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, 2 * FEATURES + 1, len(BANDS)))
+        for batch in batches:
+            for text, author, fold, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                for words in own_words(text, author):
+                    weighted = np.log1p(len(words)) * np.array(parts)
+                    at = [2 * FEATURES]
+                    for own, grams in map(buckets, words):
+                        at.append(own)
+                        at += [FEATURES + g for g in grams]
+                    found, n = np.unique(at, return_counts=True)
+                    total[fold, found] += n[:, None] * weighted
+        fold, at = np.nonzero(total.any(axis=2))
+        model, bucket = np.divmod(at, FEATURES)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((fold, model, bucket, *total[fold, at].T), _SUMS)], schema=_SUMS)
+
+    return scan
+
+
+def _weights(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features x 4, 2 x 4): logarithms of the smoothed probabilities of both models' features and of the levels."""
+    prior = total[-1] + SMOOTHING
+    prior = np.log(prior / prior.sum())
+    parts = [total[m * FEATURES : (m + 1) * FEATURES] + SMOOTHING for m in range(len(MODELS))]
+    return np.concatenate([np.log(p / p.sum(axis=0)) for p in parts]).astype(np.float32), np.tile(prior, (len(MODELS), 1))
+
+
+class _Scorer:
+    """Sums of weights for the words of sentences; the vectors of words already met are kept."""
+
+    def __init__(self, weights: tuple[np.ndarray, np.ndarray]) -> None:
+        self.features, self.prior = weights
+        self.places: dict[str, int] = {}
+        self.vectors = np.empty((1024, len(_COLUMNS)))
+
+    def place(self, word: str) -> int:
+        at = self.places[word] = len(self.places)
+        if at == len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+        own, grams = buckets(word)
+        self.vectors[at, : len(BANDS)] = self.features[own]
+        self.vectors[at, len(BANDS) :] = self.features[np.add(grams, FEATURES)].sum(axis=0)
+        return at
+
+    def posts(self, posts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, averages) of posts with at least one sentence: averages over sentences, by length, of the log probabilities."""
+        if len(self.places) > KEPT_WORDS:
+            self.places.clear()
+        known = self.places
+        at = [known[w] if w in known else self.place(w) for post in posts for words in post for w in words]
+        n_words = np.array([len(words) for post in posts for words in post])
+        starts = np.concatenate([[0], np.cumsum(n_words)[:-1]])
+        raw = np.add.reduceat(self.vectors[at], starts).reshape(len(n_words), len(MODELS), len(BANDS)) + self.prior
+        raw -= raw.max(axis=2, keepdims=True)
+        p = np.exp(raw)
+        logs = np.log(np.maximum(p / p.sum(axis=2, keepdims=True), LEAST)).reshape(len(n_words), -1)
+        first = np.concatenate([[0], np.cumsum([len(post) for post in posts])[:-1]])
+        own = np.add.reduceat(n_words, first)
+        return own, np.add.reduceat(logs * n_words[:, None], first) / own[:, None]
+
+
+def _averages(models: list[tuple[np.ndarray, np.ndarray]], fold: str | None = None):
+    """For (text, author[, fold], ...): the other columns, ``own_words`` and ``x`` of each row; null without own words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [_Scorer(m) for m in models]
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):  # whole texts, a few at a time
+                batch = whole.slice(start, 512)
+                posts = [own_words(t, a) for t, a in zip(batch.column("text").to_pylist(), batch.column("author").to_pylist())]
+                use = np.array(batch.column(fold).to_pylist()) if fold else np.zeros(len(posts), int)
+                n, x = [0] * len(posts), [None] * len(posts)
+                for f in range(len(models)):
+                    rows = [i for i in np.flatnonzero(use == f).tolist() if posts[i]]
+                    if rows:
+                        for i, own, average in zip(rows, *scorers[f].posts([posts[i] for i in rows])):
+                            n[i], x[i] = int(own), average
+                kept = [c for c in batch.schema.names if c not in ("text", "author")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=[*kept, "own_words", "x"])
+
+    return scan
+
+
+def _profiles(rows: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], fold: str | None = None) -> DataFrame:
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "author")]
+    return rows.mapInArrow(_averages(models, fold), ", ".join([*kept, "own_words bigint, x array<double>"]))
 
 
 @dataclass
 class ReadingModel:
-    sentences: dict[str, NaiveBayesModel]
-    calibration: LogisticRegressionModel
+    """``weights`` of the sentence models; ``matrix`` and ``offset`` of the calibration, one row per band."""
+
+    weights: tuple[np.ndarray, np.ndarray]
+    matrix: np.ndarray
+    offset: np.ndarray
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 3) -> ReadingModel:
     """Models from the posts that ``labels`` grades, at most MOST_LABELLED of them.
 
+    What reaches the driver are sums per fold and bucket: at most folds * (2 * FEATURES + 1) rows.
     Raises ValueError where no graded post has a sentence of its own.
     """
-    chosen = graded(labels).join(
-        labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED), "doc_id", "left_semi"
-    )
-    posts = sentence_rows(documents.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi"))
-    rows = materialise(posts.join(chosen, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds))), "graded")
-    found = {r.fold for r in rows.select("fold").distinct().collect()}
-    if not found:
+    parts = [F.sum(F.when(F.col("band") == b, F.col("part")).otherwise(0.0)).alias(f"p{b}") for b in BANDS]
+    chosen = graded(labels).groupBy("doc_id").agg(*parts).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold")
+    names = [f"p{b}" for b in BANDS]
+    posts = materialise(documents.select("doc_id", "text", "author").join(chosen, "doc_id").select("text", "author", fold, *names), "graded")
+    sums = posts.mapInArrow(_sums(folds), "fold int, model int, bucket int, " + ", ".join(f"c{b} double" for b in BANDS))
+    found = sums.groupBy("fold", "model", "bucket").agg(*[F.sum(f"c{b}").alias(f"c{b}") for b in BANDS]).toPandas()
+    if found.empty:
         raise ValueError("no graded post has a sentence of its own")
-    rows = _vectors(rows).withColumn("weight", F.col("part") * F.log1p(F.size("words"))).withColumn("class", (F.col("band") - 1).cast("double")).persist()
-    held_out = None
-    for fold in sorted(found):
-        train = rows.where(F.col("fold") != fold) if len(found) > 1 else rows
-        models = {name: _fit(train, name) for name in MODELS}
-        part = _profile(models, rows.where(F.col("fold") == fold), ["doc_id", "class", "part"])
-        held_out = part if held_out is None else held_out.unionByName(part)
-    calibration = _calibrate(held_out)
-    final = {name: _fit(rows, name) for name in MODELS}
-    rows.unpersist()
-    return ReadingModel(final, calibration)
+    total = np.zeros((folds, 2 * FEATURES + 1, len(BANDS)))
+    total[found["fold"], found["model"] * FEATURES + found["bucket"]] = found[[f"c{b}" for b in BANDS]]
+    whole = total.sum(axis=0)
+    # a fold that holds all there is is scored with what it was fitted on
+    unseen = [_weights(rest if (rest := whole - total[f])[-1].any() else whole) for f in range(folds)]
+    classes = F.inline(F.array(*[F.struct(F.lit(float(b - 1)).alias("class"), F.col(f"p{b}").alias("part")) for b in BANDS]))
+    profiles = _profiles(posts, unseen, "fold").where("own_words > 0").select(array_to_vector("x").alias("x"), classes).where("part > 0")
+    fitted = LogisticRegression(featuresCol="x", labelCol="class", weightCol="part", regParam=0.02, maxIter=30, family="multinomial").fit(materialise(profiles, "profiles"))
+    matrix, offset = np.zeros((len(BANDS), len(_COLUMNS))), np.full(len(BANDS), -np.inf)
+    matrix[: fitted.numClasses], offset[: fitted.numClasses] = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    return ReadingModel(_weights(whole), matrix, offset)
+
+
+def levels(rows: DataFrame, model: ReadingModel) -> DataFrame:
+    """``rows`` without text and author, with (own_words, band, confidence, level) of each row; all null but ``own_words`` = 0 without own words."""
+
+    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _averages([model.weights])(batches):
+            x, own = batch.column("x"), np.asarray(batch.column("own_words"))
+            some = own > 0
+            raw = np.array([v for v in x.to_pylist() if v is not None]).reshape(-1, len(_COLUMNS)) @ model.matrix.T + model.offset
+            p = np.exp(raw - raw.max(axis=1, keepdims=True)) if len(raw) else raw
+            p = p / p.sum(axis=1, keepdims=True)
+            out = np.zeros((3, len(own)))
+            out[:, some] = p.argmax(axis=1) + 1, p.max(axis=1) if len(p) else p.sum(axis=1), p @ np.array(BANDS)
+            arrays = [pa.array(v, t, mask=~some) for v, t in zip((out[0].astype(int), out[1], out[2]), (pa.int32(), pa.float64(), pa.float64()))]
+            kept = [c for c in batch.schema.names if c != "x"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "band", "confidence", "level"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "author")]
+    return rows.mapInArrow(calibrate, ", ".join([*kept, "own_words bigint, band int, confidence double, level double"]))
 
 
 def difficulty(documents: DataFrame, model: ReadingModel, least_words: int = 40) -> DataFrame:
-    """(doc_id, own_words, band, confidence, level) of posts with at least ``least_words`` own words.
+    """(doc_id, own_words, band, confidence, level), one row for each post with at least ``least_words`` own words.
 
-    ``level`` is the mean of the bands under the calibrated distribution. Posts with a null id are
-    taken together as one post.
+    ``level`` is the mean of the bands under the calibrated distribution. Repeated rows and rows
+    with a null id are posts of their own. No shuffle: one scan.
     """
-    profiles = _profile(model.sentences, _vectors(sentence_rows(documents)), ["doc_id"]).where(F.col("own_words") >= least_words)
-    scored = model.calibration.setFeaturesCol("x").setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_c").transform(profiles)
-    p = vector_to_array("_p")
-    level = sum(F.coalesce(F.get(p, b - 1), F.lit(0.0)) * b for b in BANDS)
-    return scored.select("doc_id", "own_words", (F.col("_c") + 1).cast("int").alias("band"), F.array_max(p).alias("confidence"), level.alias("level"))
+    return levels(documents.select("doc_id", "text", "author"), model).where((F.col("own_words") >= least_words) & F.col("band").isNotNull())
 
 
-def profile(levels: DataFrame) -> DataFrame:
+def profile(scored: DataFrame) -> DataFrame:
     """(band, documents, own_words): how the corpus is spread over the bands."""
-    return levels.groupBy("band").agg(F.count("*").alias("documents"), F.sum("own_words").alias("own_words"))
+    return scored.groupBy("band").agg(F.count("*").alias("documents"), F.sum("own_words").alias("own_words"))
 
 
 def corpus_profile(documents: DataFrame, model: ReadingModel, short: int = 40) -> DataFrame:
@@ -167,11 +245,18 @@ def corpus_profile(documents: DataFrame, model: ReadingModel, short: int = 40) -
     own words; those without any have a null band. Each row counts, copies and rows with a null id
     too, so ``documents`` adds up to the table.
     """
-    rows = documents.withColumn("lang", F.lower(F.btrim("lang")))
-    rows = rows.withColumn("doc_id", F.md5(F.to_json(F.struct("doc_id", "lang", "text", "author"))))
-    posts = rows.groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
-    levels = difficulty(rows, model, least_words=1).select("doc_id", "own_words", "band")  # the words of copies are added up
-    words = F.coalesce("own_words", F.lit(0))
-    return posts.join(levels, "doc_id", "left").groupBy("lang", (words < F.col("n") * short).alias("short"), "band").agg(
-        F.sum("n").alias("documents"), F.sum(words).alias("own_words")
-    )
+    rows = levels(documents.select(F.lower(F.btrim("lang")).alias("lang"), "text", "author"), model)
+    return rows.groupBy("lang", (F.col("own_words") < short).alias("short"), "band").agg(F.count("*").alias("documents"), F.sum("own_words").alias("own_words"))
+
+
+def agreement(documents: DataFrame, labels: DataFrame, least_words: int = 40, part: int = 3) -> DataFrame:
+    """(band, posts, right, near): posts of each band that the fit left out, how many were given it, and how many it or a neighbour.
+
+    The posts with ``hash % part`` = 0 are held out; their band is that of the heaviest verdict, ties to the lower one.
+    """
+    held = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(part)) == 0
+    model = fit(documents, labels.where(~held))
+    best = graded(labels.where(held)).groupBy("doc_id").agg(F.max(F.struct("part", -F.col("band"))).alias("m")).select("doc_id", (-F.col("m.col2")).alias("graded"))
+    scored = difficulty(documents.join(best.select("doc_id"), "doc_id", "left_semi"), model, least_words).join(best, "doc_id")
+    off = F.abs(F.col("band") - F.col("graded"))
+    return scored.groupBy(F.col("graded").alias("band")).agg(F.count("*").alias("posts"), F.count_if(off == 0).alias("right"), F.count_if(off <= 1).alias("near"))

@@ -22,6 +22,11 @@ def cased_words(text: str) -> list[str]:
     return _WORD.findall(plain(text))
 
 
+def lower_words(text: str) -> list[str]:
+    """Lower-case words of a text without markup."""
+    return _WORD.findall(text.lower())
+
+
 _EDGE = re.compile(r"\[(/?)quote(?:=[^\]\n]*)?\]|<(/?)blockquote\b[^<>\n]*>", re.IGNORECASE)
 _PASTED = re.compile(r"\[code\b[^\]\n]*\].*?(?:\[/code\]|\Z)|<(pre|code)\b[^<>\n]*>.*?(?:</\1>|\Z)|```.*?(?:```|\Z)", re.IGNORECASE | re.DOTALL)
 _SIGNED = re.compile(r"\[size=1\].*?(?:\[/size\]|\Z)|<hr\b[^<>\n]*>.*\Z|^(?:-- ?|_{5,}|-{5,})[ \t]*$.*\Z", re.IGNORECASE | re.DOTALL | re.MULTILINE)

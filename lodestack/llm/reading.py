@@ -179,14 +179,14 @@ class ReadingModel:
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 3) -> ReadingModel:
     """Models from the posts that ``labels`` grades, at most MOST_LABELLED of them.
 
-    What reaches the driver are sums per fold and bucket: at most folds * (2 * FEATURES + 1) rows.
+    The chosen ids are broadcast: MOST_LABELLED rows at most. What reaches the driver are sums per fold and bucket: at most folds * (2 * FEATURES + 1) rows.
     Raises ValueError where no graded post has a sentence of its own.
     """
     parts = [F.sum(F.when(F.col("band") == b, F.col("part")).otherwise(0.0)).alias(f"p{b}") for b in BANDS]
     chosen = graded(labels).groupBy("doc_id").agg(*parts).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold")
     names = [f"p{b}" for b in BANDS]
-    posts = materialise(documents.select("doc_id", "text", "author").join(chosen, "doc_id").select("text", "author", fold, *names), "graded")
+    posts = materialise(documents.select("doc_id", "text", "author").join(F.broadcast(chosen), "doc_id").select("text", "author", fold, *names), "graded")
     sums = posts.mapInArrow(_sums(folds), "fold int, model int, bucket int, " + ", ".join(f"c{b} double" for b in BANDS))
     found = sums.groupBy("fold", "model", "bucket").agg(*[F.sum(f"c{b}").alias(f"c{b}") for b in BANDS]).toPandas()
     if found.empty:

@@ -22,6 +22,19 @@ def cased_words(text: str) -> list[str]:
     return _WORD.findall(plain(text))
 
 
+# Marks after which a word opens a sentence.
+_OPENS = re.compile(r"[.!?:\n]")
+
+
+def words_in_sentences(text: str) -> list[tuple[str, bool]]:
+    """Each word and whether it is the first of a sentence."""
+    bare, out, at = plain(text), [], 0
+    for m in _WORD.finditer(bare):
+        out.append((m[0], not out or bool(_OPENS.search(bare, at, m.start()))))
+        at = m.end()
+    return out
+
+
 def lower_words(text: str) -> list[str]:
     """Lower-case words of a text without markup."""
     return _WORD.findall(text.lower())

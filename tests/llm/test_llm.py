@@ -136,10 +136,22 @@ def test_literal_leaks(spark):
     assert leakage.literal_leaks(documents.limit(0), items).count() == 0 and leakage.literal_leaks(documents, items.limit(0)).count() == 0
 
 
-def test_windows_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
+def test_windows_are_shuffled_where_they_are_too_large_to_broadcast(spark):
     documents, items, docs, raw = leak_tables(spark)
-    monkeypatch.setattr(leakage, "MOST_WINDOWS", 3)
-    assert {tuple(r) for r in leakage.literal_leaks(documents, items).collect()} == brute_leaks(docs, raw)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {tuple(r) for r in leakage.literal_leaks(documents, items).collect()} == brute_leaks(docs, raw)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_in_sentences_and_vocabulary(spark):
+    assert leakage.words_in_sentences("Ann ran. Bob sat, Cid") == [("Ann", True), ("ran", False), ("Bob", True), ("sat", False), ("Cid", False)]
+    items = spark.createDataFrame([("My friend saw Ann run 9 km and 10 km. My dog",), ("we saw my Will will",), (None,), ("",)], "text string")
+    own = leakage._Templates(leakage.vocabulary(items))
+    kinds = {w: next((k for k, c in own.fixed.items() if c == own.code(w)[0]), None) for w in "ann 9 km my will friend".split()}
+    assert kinds == {"ann": "<name>", "9": "<number>", "km": "<unit>", "my": None, "will": None, "friend": None}
+    assert leakage.vocabulary(items.limit(0)) == {}
 
 
 def test_reparameterised_leaks(spark):
@@ -148,6 +160,36 @@ def test_reparameterised_leaks(spark):
     assert (7, 10) in got and not {d for d, _ in got} & {3, 5, 6, 9}
 
 
+def test_planted_reparameterised_leaks(spark):
+    """Items with their names and numbers replaced are found, stock phrases and ordinary posts are not."""
+    items = spark.read.parquet("/root/testdata/sf0.01/eval_items.parquet")
+    rows, rng = items.collect(), random.Random(5)
+    lower = {w for r in rows for w in re.findall(r"\b[a-z]+\b", r.text)}
+    name = lambda: "".join(rng.choices("ba do ke mi ru sta lon gri ve pa zo tel".split(), k=3)).capitalize() + rng.choice("wxyz")
+
+    def refilled(text):
+        new = {}
+        return re.sub(r"[A-Z][a-z]+|\d+", lambda m: m[0] if m[0].lower() in lower else new.setdefault(m[0], str(rng.randint(2, 999)) if m[0].isdecimal() else name()), text)
+
+    docs, truth = [], set()
+    while len(truth) < 80:
+        r = rng.choice(rows)
+        words = r.text.split()
+        at, n = rng.randint(0, max(0, len(words) - 24)), rng.randint(28, 60)
+        part = " ".join(words[at : at + n])
+        if len(words[at : at + n]) >= 24 and refilled(part) != part:
+            truth.add((10**9 + len(docs), r.item_id))
+            docs.append((10**9 + len(docs), f"I found this one. {refilled(part)} What do you think?"))
+    for k in range(80):
+        docs.append((2 * 10**9 + k, f"Near {name()}, it was said so again. In {name()} it's said so: as {name()} told us, this spring, in {name()} it's said so."))
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    posts = real.unionByName(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    found = {(r.doc_id, r.item_id) for r in leakage.reparameterised_leaks(posts, items).collect()}
+    literal = {tuple(r) for r in leakage.literal_leaks(posts, items).collect()}
+    assert len(found & truth) >= 0.85 * len(truth)
+    assert len(found & (truth | literal)) >= 0.9 * len(found) and not {d for d, _ in found if d >= 2 * 10**9}
+
+
 # ---- problem 9
 
 

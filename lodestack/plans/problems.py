@@ -35,21 +35,22 @@ def p3_by_period(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans_by_period(_orphans(spark, d), "program_reports")
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(*hierarchy.library_edges(table(spark, d, "program_reports")))
+def _libraries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return hierarchy.library_edges(table(spark, d, "program_reports"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).select(F.col("node").alias("soname"), "root", "depth", "state")
+    return hierarchy.hierarchy(*_libraries(spark, d)).select(F.col("node").alias("soname"), "root", "depth", "state")
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path, and how many libraries hang below each; keys hold no slash, so the joined path is unambiguous."""
-    return _tree(spark, d).select(F.col("node").alias("soname"), F.array_join("path", "/").alias("path"), "descendants", "state")
+    tree = hierarchy.hierarchy(*_libraries(spark, d), paths=True)
+    return tree.select(F.col("node").alias("soname"), F.array_join("path", "/").alias("path"), "descendants", "state")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(_tree(spark, d))
+    return hierarchy.descendants(*_libraries(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

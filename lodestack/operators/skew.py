@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.records import keys_of, package_of, record_id
+from lodestack.functions.records import keys_of, library_key, package_of, record_id
 
 #: A key with more than this part of all rows is hot, so there are fewer hot keys than that, whatever the data.
 HOT_PART = 200
@@ -49,15 +49,15 @@ def key_totals(reports: DataFrame) -> DataFrame:
     record count once, null arrays, null, empty and blank entries count nothing, an empty table
     gives no row.
     """
-    fields = {"needed": F.array_distinct(keys_of(F.col("needed"))), "soname": keys_of(F.array("soname"))}
-    tagged = F.array(*[F.struct(F.lit(name).alias("field"), keys.alias("keys")) for name, keys in fields.items()])
     package = F.coalesce(package_of(F.col("source.relative")), F.lit("\0"))  # stands for none
-    rows = reports.select(package.alias("package"), *record_id(), tagged.alias("tagged"))
+    needed, soname = F.array_distinct(keys_of(F.col("needed"))), library_key(F.col("soname"))
+    rows = reports.select(package.alias("package"), *record_id(), needed.alias("needed"), soname.alias("soname"))
     hot = hot_keys(rows.select("package"), "package")
     rows = rows.join(F.broadcast(hot), "package", "left").withColumn("_salt", F.coalesce(F.pmod("rec_a", F.col("_salts")), F.lit(-1)))
     # a record's copies share its path, hence its package and salt: what follows up to the states needs no shuffle
     placed = rows.drop("_salts").repartition("package", "_salt")
-    pairs = placed.select("package", "_salt", "rec_a", "rec_b", F.inline("tagged")).select("package", "_salt", "rec_a", "rec_b", "field", F.explode("keys").alias("key")).distinct()
+    tagged = F.array(*[F.struct(F.lit(f).alias("field"), keys.alias("keys")) for f, keys in (("needed", F.col("needed")), ("soname", F.array_compact(F.array("soname"))))])
+    pairs = placed.select("package", "_salt", "rec_a", "rec_b", F.inline(tagged)).select("package", "_salt", "rec_a", "rec_b", "field", F.explode("keys").alias("key")).distinct()
     states = pairs.groupBy("package", "_salt", "field", "key").agg(F.count("*").alias("n"))
     # a package that lies in one task counts there; one that is spread is named, to count once
     spread, known = F.col("_salt") >= 0, F.col("package") != "\0"

@@ -10,8 +10,9 @@ from lodestack.session import table
 from lodestack.sources.json_objects import report_objects
 
 
-def _compacted(spark: SparkSession, d: str) -> compaction.Compacted:
-    return compaction.compact(report_objects(table(spark, d, "report_files")))
+def _compacted(spark: SparkSession, d: str, file_bytes: int = 128 << 20) -> compaction.Compacted:
+    files = table(spark, d, "report_files")
+    return compaction.compact(report_objects(files), file_bytes, source=report_objects(files, whole=False))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +24,11 @@ def p2_files(spark: SparkSession, d: str) -> DataFrame:
     return _compacted(spark, d).files
 
 
+def p2_layout(spark: SparkSession, d: str) -> DataFrame:
+    """As ``p2_files`` for files of 12 KB, so that small tables, too, show how records are spread over many files."""
+    return _compacted(spark, d, 12 << 10).files
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_references(*(table(spark, d, x) for x in ("program_reports", "graph_record", "removals")))
 
@@ -61,7 +67,7 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return skew.key_totals(table(spark, d, "program_reports")).select("field", "key", "records", "packages")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_files, p3_found, p3_by_period, p4_found, p4_paths, p4_descendants, p6_found, p6_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_files, p2_layout, p3_found, p3_by_period, p4_found, p4_paths, p4_descendants, p6_found, p6_totals)}
 
 _PATH = "array_to_string(list_filter(string_split({0}, '/'), lambda x: x <> '' and x <> '.'), '/')"
 _KEY = r"nullif(regexp_extract(trim({0}, E' \t\r\n'), '[^/]*$'), '')"

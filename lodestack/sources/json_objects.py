@@ -28,7 +28,7 @@ def objects(text: str) -> Iterator[dict]:
         at = text.find("{", end)
 
 
-def _reports(text: str) -> Iterator[tuple]:
+def _reports(text: str, whole: bool = True) -> Iterator[tuple]:
     waiting = list(objects(text))
     while waiting:
         x = waiting.pop()
@@ -41,16 +41,16 @@ def _reports(text: str) -> Iterator[tuple]:
         if isinstance(relative, str) and isinstance(sha, str) and kind:
             size = source.get("size")
             size = size if isinstance(size, int) and -(2**63) <= size < 2**63 else None
-            yield kind, relative, sha, size, json.dumps(x, sort_keys=True, separators=(",", ":"))
+            yield kind, relative, sha, size, json.dumps(x, sort_keys=True, separators=(",", ":")) if whole else None
 
 
 _FOUND = pa.schema([("report_type", pa.string()), ("relative", pa.string()), ("sha256", pa.string()), ("size", pa.int64()), ("report", pa.string())])
 
 
-def report_objects(files: DataFrame) -> DataFrame:
+def report_objects(files: DataFrame, whole: bool = True) -> DataFrame:
     """(file_id, modified_at, report_type, relative, sha256, size, report) for each complete report in ``content``.
 
-    ``report`` is the object as JSON with sorted keys. Null and empty contents give no row. One
+    ``report`` is the object as JSON with sorted keys, null unless ``whole``. Null and empty contents give no row. One
     long text is read whole by one task; texts are independent of each other.
     """
 
@@ -59,7 +59,7 @@ def report_objects(files: DataFrame) -> DataFrame:
             rows, owners = [], []
             for at, content in enumerate(batch.column(2)):
                 if content.is_valid:
-                    found = list(_reports(content.as_py()))
+                    found = list(_reports(content.as_py(), whole))
                     rows += found
                     owners += [at] * len(found)
             columns = list(zip(*rows)) if rows else [[] for _ in _FOUND]

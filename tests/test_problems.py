@@ -160,18 +160,45 @@ def test_compaction(spark):
     got = {(r.report_type, r.relative, r.sha256): json.loads(r.report) for r in out.records.collect()}
     assert set(got) == {("elf", "r/p/a", "aa"), ("elf", "r/p/b", "bb"), ("elf", "r/p/d", "dd"), ("elflint", "r/p/a", "aa"), ("elf", "r/q/long", "ff"), ("elf", "r/q/?", "99")}
     assert got["elf", "r/p/a", "aa"]["new"] == 1 and len(got["elf", "r/q/long", "ff"]["note"]) == 300_000
-    assert out.records.count() == 6 and out.n_files >= 3
+    assert out.records.count() == 6 == sum(r.records for r in out.files.collect())
     assert compaction.compact(report_objects(files.limit(0)), 1000).records.count() == 0
 
 
-def test_files_are_balanced(spark):
-    rows = spark.range(4000).select(
+def report_rows(spark, n):
+    """Reports of one length, a third of them of one package, months and sizes mixed."""
+    return spark.range(n).select(
         F.lit("elf").alias("report_type"), F.when(F.col("id") % 3 == 0, "r/hot/f").otherwise(F.concat(F.lit("r/p"), F.col("id") % 90, F.lit("/f"))).alias("relative"),
-        F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.lit(None).cast("timestamp_ntz").alias("modified_at"), F.lit(64).cast("bigint").alias("size"), F.repeat(F.lit("x"), 99).alias("report"),
+        F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.col("id").alias("file_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0, int(id % 7))").alias("modified_at"),
+        (F.expr("shiftleft(64L, int(id % 9))")).alias("size"), F.sha2(F.col("id").cast("string"), 512).alias("report"),
     )
-    placed, n = compaction.place(rows.withColumn("code", compaction.hilbert_code(*compaction._axes())), 40_000)
+
+
+def test_files_are_balanced(spark):
+    coded, bits = compaction.coded(report_rows(spark, 4000), 13)
+    placed, n = compaction.place(coded, 129 * 310, bits)
     sizes = [r["count"] for r in placed.groupBy("file_no").count().collect()]
-    assert sum(sizes) == 4000 and max(sizes) <= 800 and n >= 10
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 310 and 12 <= n <= 14 and len(sizes) == n
+    by_file = placed.groupBy("file_no").agg(F.min("code").alias("lo"), F.max("code").alias("hi")).orderBy("lo", "hi").collect()
+    assert all(a.hi <= b.lo for a, b in zip(by_file, by_file[1:]))
+    one, n = compaction.place(coded.withColumn("code", F.lit(7).cast("bigint")), 129 * 310, bits)  # one cell is split by hash
+    assert n == 13 and max(r["count"] for r in one.groupBy("file_no").count().collect()) < 2 * 310
+
+
+def test_finer_cells_for_more_files(spark):
+    assert [compaction.bits_for(n) for n in (0, 1, 4096, 5000, 1 << 21, 1 << 30)] == [5, 5, 5, 6, 8, 8]
+    rows = report_rows(spark, 900)
+    bounds = compaction.package_bounds(rows, 3)
+    assert bounds == sorted(bounds) and len(bounds) == 7 and compaction.package_bounds(rows.limit(0), 3) == []
+
+
+def test_compacted_files_stay_where_they_are_wanted(spark, tmp_path):
+    rows = report_rows(spark, 3000)
+    out = compaction.compact(rows, 20_000, to=f"{tmp_path}/out")
+    files = out.files.collect()
+    assert sum(r.records for r in files) == 3000 == spark.read.parquet(f"{tmp_path}/out").count() and len(files) == out.n_files >= 10
+    assert all(10_000 <= r.file_bytes <= 40_000 for r in files[:-1])
+    with pytest.raises(ValueError, match="differ"):
+        compaction.compact(rows, 20_000, source=rows.limit(2999))
 
 
 def test_hilbert_curve_is_continuous():

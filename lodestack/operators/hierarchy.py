@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.records import keys_of, library_key
 from lodestack.operators import bloom
 from lodestack.operators.skew import hot_keys, salted_lookup
-from lodestack.session import materialise
+from lodestack.session import materialise, measured
 
 #: Peel rounds per Spark job: what is peeled leaves the state after each job, so the first ones are short.
 ROUNDS = (1, 2, 4, 8)
@@ -52,17 +52,20 @@ def links(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def chains(ids: DataFrame, up: DataFrame) -> DataFrame:
     """(id, chain, rank): runs of nodes that are the only child of their parent are one chain, named by its lowest node.
 
-    ``rank`` counts from the top. Ranks come by doubling, log2(longest chain) joins; where a round
+    ``rank`` counts from the top. Ranks come by doubling, log2(longest chain) joins, two a job; where a job
     resolves nothing the rest are loops without branches, whose nodes stay chains of their own.
     """
     only = up.groupBy("parent").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    state = materialise(only.select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("rank"), F.lit(True).alias("open")), "chain")
+    state, seen = measured(
+        only.select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("rank"), F.lit(True).alias("open")), "chain", n=F.count_if("open")
+    )
     left = -1
-    while (now := state.where("open").count()) not in (0, left):
-        left = now
-        on = state.select(F.col("id").alias("jump"), F.col("jump").alias("after"), F.col("rank").alias("more"))
-        step = state.join(on, "jump", "left").select("id", F.coalesce("after", "jump").alias("jump"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.col("after").isNotNull().alias("open"))
-        state = materialise(step, "chain")
+    while seen["n"] not in (0, left):
+        left = seen["n"]
+        for _ in range(2):
+            on = state.select(F.col("id").alias("jump"), F.col("jump").alias("after"), F.col("rank").alias("more"))
+            state = state.join(on, "jump", "left").select("id", F.coalesce("after", "jump").alias("jump"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.col("after").isNotNull().alias("open"))
+        state, seen = measured(state, "chain", n=F.count_if("open"))
     ranked = state.where("not open").select("id", F.col("jump").alias("top"), "rank")  # the tops have no row yet
     ranked = ranked.unionByName(ranked.select(F.col("top").alias("id"), "top", F.lit(0).cast("bigint").alias("rank")).distinct())
     low = ranked.groupBy("top").agg(F.max_by("id", "rank").alias("chain"))
@@ -103,11 +106,11 @@ def peel(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         for _ in range(ROUNDS[min(jobs, len(ROUNDS) - 1)]):
             state = _round(state)
             number += 1
-        state, jobs = materialise(state, f"peel{jobs}"), jobs + 1
+        state, seen = measured(state, f"peel{jobs}", last=F.max("height"), left=F.count_if(F.col("height").isNull()))
+        jobs += 1
         peeled.append(state.where("height is not null"))
-        last, left = state.agg(F.max("height"), F.count_if(F.col("height").isNull())).first()
         state = state.where("height is null")
-        if not left or last != number - 1:
+        if not seen["left"] or seen["last"] != number - 1:
             break
     done = peeled[0]
     for x in peeled[1:]:
@@ -119,13 +122,16 @@ def loops(residual: DataFrame) -> DataFrame:
     """(id, root) of ``residual`` (id, parent, least) on loops: the least of the loop, within 2, 4, 8 ... steps, until nothing changes."""
     state = materialise(residual.select("id", F.col("parent").alias("next"), F.col("least").alias("root")), "loop")
     while True:
-        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("root").alias("other"))
-        step = state.join(ahead, "next").select(
-            "id", F.col("after").alias("next"), F.least("root", "other").alias("root"), (F.col("other") < F.col("root")).alias("changed")
-        )
-        step = materialise(step, "loop")
-        state = step.drop("changed")
-        if not step.where("changed").limit(1).count():
+        changed = F.lit(False)
+        for _ in range(2):
+            ahead = state.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("root").alias("other"))
+            state = state.join(ahead, "next").select(
+                "id", F.col("after").alias("next"), F.least("root", "other").alias("root"), ((F.col("other") < F.col("root")) | changed).alias("changed")
+            )
+            changed = F.col("changed")
+        state, seen = measured(state, "loop", n=F.count_if("changed"))
+        state = state.drop("changed")
+        if not seen["n"]:
             return state.select("id", "root")
 
 

@@ -9,7 +9,7 @@ import uuid
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[str] = []
 
@@ -96,6 +96,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
+def measured(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """As ``materialise``, with aggregates over the rows that are taken as they are written: no job of their own."""
+    seen = Observation()
+    written = write(df.observe(seen, *[a.alias(k) for k, a in aggregates.items()]), name)
+    return df.sparkSession.read.schema(df.schema).parquet(written), seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Remove everything that ``materialise`` wrote; results that still read it become invalid."""
     while _written:

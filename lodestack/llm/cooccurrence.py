@@ -125,7 +125,8 @@ def pair_counts(own: DataFrame, least: int = 1) -> DataFrame:
     a = diagonal.select("item_a", F.col("n_ab").alias("n_a"))
     b = diagonal.select("item_b", F.col("n_ab").alias("n_b"))
     lift = F.lit(float(total)) * F.col("n_ab") / (F.col("n_a").cast("double") * F.col("n_b"))
-    pairs = salted_lookup(salted_lookup(gram.where("item_a < item_b"), a, "item_a"), b, "item_b")
+    first = materialise(salted_lookup(gram.where("item_a < item_b"), a, "item_a"), "margins")
+    pairs = salted_lookup(first, b, "item_b")
     return pairs.select(
         "item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(total).alias("n"), lift.alias("lift")
     )

@@ -84,9 +84,12 @@ def rates(targets: list[tuple[str, float, int]], available: dict[str, int], tota
 
 
 def sized(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens) of the posts of named sources, written once. Null and unnamed sources are left out."""
+    """(doc_id, source, tokens) of the posts of named sources, written once. Null and unnamed sources are left out.
+
+    Spark decides by the size of ``targets`` whether they are broadcast.
+    """
     named = targets.select(source_key(F.col("source")).alias("source")).where("source is not null").distinct()
-    rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").join(F.broadcast(named), "source", "left_semi")
+    rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").join(named, "source", "left_semi")
     counted = rows.select("doc_id", "source", token_count(tokenizer or default_tokenizer())("text").alias("tokens"))
     return materialise(counted, "tokens")
 
@@ -118,17 +121,28 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) / F.lit(float(1 << 53))
 
 
-def mixture(sizes: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
-    """(doc_id, source, copy_no, tokens): each post as often as the mix needs it, never above ``max_repeats``.
+def copied(rows: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
+    """``rows`` (doc_id, source, ...), each as often as the mix needs it, never above ``max_repeats``, with ``copy_no``.
 
-    ``planned`` has one row per source of the targets, hence the broadcast is bounded. A post with
-    a null id is one more post with its own draw for the null id.
+    ``planned`` comes from ``plan`` and has at most MOST_SOURCES rows, hence the broadcast is bounded. A row with
+    a null id is one more with the draw of the null id.
     """
     whole = F.floor("rate")
     copies = (whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("int")).cast("int")
-    rows = sizes.join(F.broadcast(planned.select("source", "rate", "max_repeats")), "source")
-    rows = rows.withColumn("copies", F.least(copies, F.col("max_repeats"))).where("copies > 0")
-    return rows.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "tokens")
+    rated = rows.join(F.broadcast(planned.select("source", "rate", "max_repeats")), "source")
+    kept = rated.withColumn("copies", F.least(copies, F.col("max_repeats"))).where("copies > 0")
+    return kept.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("rate", "max_repeats", "copies")
+
+
+def mixture(sizes: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
+    """(doc_id, source, copy_no, tokens): the mix by id."""
+    return copied(sizes.select("doc_id", "source", "tokens"), planned, seed).select("doc_id", "source", "copy_no", "tokens")
+
+
+def mixed_documents(documents: DataFrame, planned: DataFrame, seed: int = 11) -> DataFrame:
+    """(doc_id, source, copy_no, text): the same mix with its texts, in one scan of the documents; the draw needs no join by id."""
+    rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text")
+    return copied(rows, planned, seed).select("doc_id", "source", "copy_no", "text")
 
 
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:

@@ -57,6 +57,11 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with its texts."""
+    return mixing.mixed_documents(table(spark, d, "documents"), _mix(spark, d)[1])
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
@@ -76,7 +81,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_terms, p5_sample, p7_found, p7_pairs, p8_found, p8_reparameterised, p8_items, p9_mixture, p9_shares, p10_found, p10_profile,
+        p1_found, p1_terms, p5_sample, p7_found, p7_pairs, p8_found, p8_reparameterised, p8_items, p9_mixture, p9_documents, p9_shares, p10_found, p10_profile,
     )
 }
 

@@ -1,14 +1,16 @@
 """Frequency of every distinct term: occurrences, records that hold it, and whether it is too rare or too common.
 
-Burst-trie counting. Each task counts its rows in a trie whose containers burst into one
-container per next character once they are full, and hands over its containers as compact
-subtrees. Prefixes that are heavy over all tasks are burst further, which routes each part of the
-trie to one task; there matching subtrees are merged, one after the other.
+Burst-trie counting. Each task counts its rows in a trie whose containers burst, behind what their
+terms share, into one container per next character once they are full, and hands over its
+containers as compact subtrees. Prefixes that are heavy over all tasks are burst further, which
+routes each part of the trie to one task; there matching subtrees are merged, one after the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from lodestack.functions.records import keys_of, library_key, record_id, term
 from lodestack.session import materialise, table
 
-#: Terms of a container before it bursts, and the depth (characters) at which it no longer does.
-FULL, DEEPEST = 256, 64
+#: Terms of a container before it bursts.
+FULL = 256
+#: Characters by which prefixes are told apart when subtrees are routed; what shares more is parted by hash.
+DEEPEST = 64
 #: Terms that a task holds before it hands over what it has and starts afresh.
 MOST_TERMS = 400_000
 #: A prefix with more than this part of all subtree entries is burst further.
@@ -28,6 +32,7 @@ _SUBTREES = pa.schema([
     ("field", pa.string()), ("prefix", pa.string()), ("rest", pa.list_(pa.string())),
     ("occurrences", pa.list_(pa.int64())), ("records", pa.list_(pa.int64())),
 ])
+_ROUTED = _SUBTREES.append(pa.field("part", pa.int32()))
 _SUBTREE_DDL = "field string, prefix string, rest array<string>, occurrences array<bigint>, records array<bigint>"
 
 
@@ -39,13 +44,17 @@ class BurstTrie:
         self.terms = 0
 
     def add(self, text: str, occurrences: int, records: int) -> None:
-        node, at, above = self.top, 0, None
+        at, above, edge, node = 0, None, "", self.top
         while isinstance(node, _Inner):
+            if not text.startswith(node.skip, at):
+                node = self._put(above, edge, node.parted(text, at))
+            at += len(node.skip)
             if at == len(text):
                 node.ends[0] += occurrences
                 node.ends[1] += records
                 return
-            above, node, at = (node, text[at]), node.below.setdefault(text[at], {}), at + 1
+            above, edge = node, text[at]
+            node, at = above.below.setdefault(edge, {}), at + 1
         counters = node.get(text[at:])
         if counters:
             counters[0] += occurrences
@@ -53,12 +62,15 @@ class BurstTrie:
             return
         node[text[at:]] = [occurrences, records]
         self.terms += 1
-        if len(node) > FULL and at < DEEPEST:
-            burst = _Inner(node)
-            if above:
-                above[0].below[above[1]] = burst
-            else:
-                self.top = burst
+        if len(node) > FULL:
+            self._put(above, edge, _Inner.burst(node))
+
+    def _put(self, above: _Inner | None, edge: str, node: _Inner) -> _Inner:
+        if above:
+            above.below[edge] = node
+        else:
+            self.top = node
+        return node
 
     def subtrees(self) -> Iterator[tuple[str, dict]]:
         """(prefix, container) of each container that holds anything."""
@@ -66,6 +78,7 @@ class BurstTrie:
         while waiting:
             prefix, node = waiting.pop()
             if isinstance(node, _Inner):
+                prefix += node.skip
                 if node.ends[1]:
                     yield prefix, {"": node.ends}
                 waiting += [(prefix + c, x) for c, x in node.below.items()]
@@ -74,19 +87,36 @@ class BurstTrie:
 
 
 class _Inner:
-    def __init__(self, container: dict[str, list[int]]) -> None:
-        self.ends = [0, 0]
+    """Characters that all terms below share (``skip``), then one child per next character; a term that ends here is in ``ends``."""
+
+    def __init__(self, skip: str) -> None:
+        self.skip, self.ends = skip, [0, 0]
         self.below: dict[str, dict | _Inner] = {}
+
+    @classmethod
+    def burst(cls, container: dict[str, list[int]]) -> _Inner:
+        shared = commonprefix([min(container), max(container)])
+        node = cls(shared)
         for text, counters in container.items():
-            if text:
-                self.below.setdefault(text[0], {})[text[1:]] = counters
+            rest = text[len(shared) :]
+            if rest:
+                node.below.setdefault(rest[0], {})[rest[1:]] = counters
             else:
-                self.ends = counters
+                node.ends = counters
+        return node
 
+    def parted(self, text: str, at: int) -> _Inner:
+        """A new node above this one, where ``text`` leaves its ``skip``."""
+        shared = commonprefix([self.skip, text[at : at + len(self.skip)]])
+        node = _Inner(shared)
+        node.below[self.skip[len(shared)]] = self
+        self.skip = self.skip[len(shared) + 1 :]
+        return node
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in _SUBTREES]
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _SUBTREES)], schema=_SUBTREES)
+
+def _batch(rows: list[tuple], schema: pa.Schema = _SUBTREES) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
 def _rows(field: str, prefix: str, container: dict[str, list[int]]) -> tuple:
@@ -119,8 +149,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heavy(subtrees: DataFrame) -> dict[str, set[str]]:
-    """Prefixes that hold more than 1/HEAVY_PART of all entries: at most HEAVY_PART * DEEPEST of them, by construction."""
-    loads = subtrees.select("field", "prefix", F.size("rest").alias("n"))
+    """Prefixes of up to DEEPEST characters that hold more than 1/HEAVY_PART of all entries: fewer than HEAVY_PART of each length."""
+    loads = subtrees.select("field", F.substring("prefix", 1, DEEPEST).alias("prefix"), F.size("rest").alias("n")).groupBy("field", "prefix").agg(F.sum("n").alias("n"))
     along = loads.select(
         "field", "n", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda i: F.substring("prefix", F.lit(1), i))).alias("p")
     )
@@ -133,22 +163,24 @@ def _heavy(subtrees: DataFrame) -> dict[str, set[str]]:
 
 
 def _route(heavy: dict[str, set[str]]):
-    """Cut subtrees at the shortest prefixes that are not heavy."""
+    """Cut subtrees at the shortest prefixes that are not heavy; where even DEEPEST characters are, their hash parts the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
                 own, parts = heavy.get(x["field"], set()), {}
-                known = next((k for k in range(len(x["prefix"]) + 1) if x["prefix"][:k] not in own), None)
+                known = next((k for k in range(min(len(x["prefix"]), DEEPEST) + 1) if x["prefix"][:k] not in own), None)
                 for rest, n, records in zip(x["rest"], x["occurrences"], x["records"]):
-                    text = x["prefix"] + rest
-                    k = known
+                    text, k, part = x["prefix"] + rest, known, 0
                     if k is None:
-                        k = next((k for k in range(len(x["prefix"]) + 1, len(text)) if text[:k] not in own), len(text))
-                    parts.setdefault(text[:k], {})[text[k:]] = [n, records]
-                rows += [_rows(x["field"], prefix, part) for prefix, part in parts.items()]
-            yield _batch(rows)
+                        k = next((k for k in range(len(x["prefix"]) + 1, min(len(text), DEEPEST) + 1) if text[:k] not in own), None)
+                    if k is None:
+                        k = min(len(text), DEEPEST)
+                        part = crc32(text.encode("utf-8", "surrogatepass")) % HEAVY_PART
+                    parts.setdefault((text[:k], part), {})[text[k:]] = [n, records]
+                rows += [(*_rows(x["field"], prefix, container), part) for (prefix, part), container in parts.items()]
+            yield _batch(rows, _ROUTED)
 
     return cut
 
@@ -157,7 +189,7 @@ _TERMS = pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by field and prefix: subtrees of one prefix are merged, then written out as terms."""
+    """Sorted by field, prefix and part: subtrees of one prefix are merged, then written out as terms."""
     at, container = None, {}
 
     def done() -> pa.RecordBatch:
@@ -166,10 +198,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for x in batch.to_pylist():
-            if (x["field"], x["prefix"]) != at:
+            if (x["field"], x["prefix"], x["part"]) != at:
                 if container:
                     yield done()
-                at, container = (x["field"], x["prefix"]), {}
+                at, container = (x["field"], x["prefix"], x["part"]), {}
             for rest, n, records in zip(x["rest"], x["occurrences"], x["records"]):
                 counters = container.setdefault(rest, [0, 0])
                 counters[0] += n
@@ -194,8 +226,8 @@ def term_frequencies(rows: DataFrame, few: int = 3) -> DataFrame:
         .select("field", "term", "n")
     )
     subtrees = materialise(pairs.mapInArrow(_count, _SUBTREE_DDL), "subtrees")
-    routed = subtrees.mapInArrow(_route(_heavy(subtrees)), _SUBTREE_DDL)
-    merged = routed.repartition("field", "prefix").sortWithinPartitions("field", "prefix")
+    routed = subtrees.mapInArrow(_route(_heavy(subtrees)), _SUBTREE_DDL + ", part int")
+    merged = routed.repartition("field", "prefix", "part").sortWithinPartitions("field", "prefix", "part")
     terms = merged.mapInArrow(_merge, "field string, term string, occurrences bigint, records bigint")
     holders = filled.groupBy("field", "rec_a", "rec_b").agg(F.lit(1)).groupBy("field").agg(F.count("*").alias("holders"))
     mark = F.when(F.col("records") < few, "rare").when(F.col("records") * 2 > F.col("holders"), "common")

@@ -27,6 +27,23 @@ def test_burst_trie_counts_like_a_dict():
     assert any(len(prefix) > 2 for prefix, _ in trie.subtrees())
 
 
+def test_terms_with_long_common_prefixes_are_spread():
+    """100,000 terms share 80 characters, some leave them early: no routed part holds more than twice the median."""
+    trie, shared = term_counts.BurstTrie(), "a" * 80
+    words = [shared + f"{i:05d}" for i in range(100_000)] + [shared[:k] for k in range(1, 80, 7)] + [shared[:k] + "b" * k for k in range(80)]
+    for w in words:
+        trie.add(w, 1, 1)
+    parts = list(trie.subtrees())
+    assert sorted(p + r for p, c in parts for r in c) == sorted(set(words)) and max(len(c) for _, c in parts) <= term_counts.FULL
+    heavy = {"f": {shared[:k] for k in range(term_counts.DEEPEST + 1)}}
+    batches = term_counts._route(heavy)([term_counts._batch([term_counts._rows("f", p, c) for p, c in parts])])
+    load = collections.Counter()
+    for x in (x for b in batches for x in b.to_pylist()):
+        load[x["prefix"], x["part"]] += len(x["rest"])
+    deep = sorted(n for (p, _), n in load.items() if p == shared[: term_counts.DEEPEST])
+    assert sum(load.values()) == len(set(words)) and len(deep) == term_counts.HEAVY_PART and deep[-1] <= 2 * deep[len(deep) // 2]
+
+
 def rows_of(spark, records):
     """records: (field, record number, terms)."""
     return spark.createDataFrame([(f, t, r, 0, "clash") for f, r, t in records], "field string, terms array<string>, rec_a bigint, rec_b bigint, term string")
@@ -213,6 +230,8 @@ def test_mixture(spark):
     mixed = mixing.mixture(sizes, planned)
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3 and mixed.where("source = 'big_site' and copy_no > 1").count() == 0
     again = mixing.mixture(mixing.sized(df.repartition(9), targets), planned)
+    texts = mixing.mixed_documents(df, planned).join(df.select("doc_id", F.col("text").alias("own")), "doc_id")
+    assert texts.count() == mixed.count() == texts.where("text <=> own").count()
     assert mixed.exceptAll(again).count() == 0 == again.exceptAll(mixed).count()
     out = {r.source: r for r in mixing.shares(mixed, planned).collect()}
     assert not out["gone"].met and out["gone"].tokens == 0 and sum(r.actual_share for r in out.values()) == pytest.approx(1)

@@ -120,9 +120,13 @@ def bucket(value: Column, cuts: list[tuple[float, str]], above: str) -> Column:
     return F.when(value.isNotNull(), found.otherwise(above))
 
 
+# Upper ends of the buckets of zero-filled shares, findings, closure sizes and edges beyond a tree.
 BSS_CUTS = [(0.1, "<=0.1"), (0.5, "0.1-0.5"), (0.9, "0.5-0.9")]
 FINDING_CUTS = [(0, "0"), (1, "1"), (5, "2-5"), (10, "6-10"), (50, "11-50"), (100, "51-100")]
 CLOSURE_CUTS = [(0, "0"), (1, "1"), (5, "2-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"), (200, "101-200")]
+EXTRA_CUTS = [
+    (1, "1"), (2, "2"), (5, "3-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"), (200, "101-200"), (500, "201-500"), (1000, "501-1000"), (10_000, "1001-10000"),
+]
 
 
 def zero_filled_share(filesz: Column, memsz: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.functions.scalars import EXTRA_CUTS, bucket
+from lodestack.operators.hierarchy import numbered
 from lodestack.operators.skew import salted_lookup
-from lodestack.session import materialise
+from lodestack.session import materialise, measured
 
 #: Stands for the path of all files without one while files are joined by path.
 _NO_PATH = "\0"
@@ -63,19 +67,38 @@ def closure(edges: DataFrame) -> DataFrame:
 
     A node is in its own closure only where a cycle leads back to it. Reach is doubled: whatever
     lies up to 2k steps away lies up to k steps behind a node exactly k steps away, so a graph of
-    depth d takes log2(d) joins; each result is written, which keeps the plan short.
+    depth d takes log2(d) joins; only those farthest nodes are looked up. Nodes that a large part of them
+    are, are split by adaptive execution as they are met. Each result is written, which keeps the plan short.
     """
     reach = edges.where("src is not null and dst is not null").select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
-    reach = materialise(reach.withColumn("depth", F.lit(1)), "reach")
+    reach, seen = measured(reach.withColumn("depth", F.lit(1)), "reach", n=F.count("*"))
     steps = 1
-    while not (ends := reach.where(F.col("depth") == steps)).isEmpty():
+    while seen["n"]:
+        ends = reach.where(F.col("depth") == steps)
         on = reach.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
         longer = ends.join(on, "node").select("root", F.col("far").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach = materialise(reach.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth")), "reach")
         steps *= 2
+        reach, seen = measured(reach.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth")), "reach", n=F.count_if(F.col("depth") == steps))
     return reach
 
 
+def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """``edges`` without most of those that can't lie on a cycle: from nodes that nothing leads to, or to nodes that lead nowhere.
+
+    Trims go on while a job of ``rounds`` of them removes at least half of the edges.
+    """
+    edges, seen = measured(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "trimmed", n=F.count("*"))
+    while seen["n"]:
+        left, rest = seen["n"], edges
+        for _ in range(rounds):
+            rest = rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            rest = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges, seen = measured(rest.select("src", "dst"), "trimmed", n=F.count("*"))
+        if seen["n"] * 2 > left:
+            break
+    return edges
+
+
 def cycles(reach: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of two nodes or more and self-loops, named by their smallest node.
 
@@ -111,79 +134,117 @@ def shadowing(direct: DataFrame, reach: DataFrame, exports: DataFrame) -> DataFr
     return counted.where("n_direct > 0 and n_indirect > 0")
 
 
-def file_edges(libraries: DataFrame) -> DataFrame:
-    """(path, soname, node, times): what each file needs, whether or not it has a soname itself.
+@dataclass
+class FileGraph:
+    """``files`` (id, path); ``edges`` (src, dst, times): what each file needs, by numbers; ``unresolved`` (id, soname), negative numbers."""
+
+    files: DataFrame
+    edges: DataFrame
+    unresolved: DataFrame
 
-    ``libraries`` (path, soname, needed). ``node`` is the path of the first provider, null where nothing
-    provides the soname; ``times`` is how often one row of the file lists it at most. The rows of
-    a path are one file, and so are all rows without a path. Files that need nothing have no row.
+
+def file_graph(libraries: DataFrame) -> FileGraph:
+    """What each file needs, whether or not it has a soname itself.
+
+    ``libraries`` (path, soname, needed). ``dst`` is the first provider of the soname by path, or the number of
+    the soname where nothing provides it; ``times`` is how often one row of the file lists it at most.
+    The rows of a path are one file, and so are all rows without a path. Files that need nothing have no edge.
     """
     path = F.coalesce("path", F.lit(_NO_PATH))
+    files = numbered(libraries.select(path.alias("node"))).withColumnRenamed("node", "path")
     count = lambda k: F.struct(k.alias("soname"), F.size(F.filter("needed", lambda x: x == k)).alias("times"))
-    listed = libraries.select(path.alias("path"), F.inline(F.transform(F.array_distinct("needed"), count)))
-    entries = materialise(listed.groupBy("path", "soname").agg(F.max("times").alias("times")), "entries")
-    first = first_provider(libraries).select("soname", F.coalesce("provider", F.lit(_NO_PATH)).alias("node"))
-    return materialise(salted_lookup(entries, first, "soname").select("path", "soname", "node", "times"), "file-edges")
+    listed = libraries.select(path.alias("path"), F.inline(F.transform(F.array_distinct("needed"), count))).join(files, "path")
+    entries = materialise(listed.groupBy(F.col("id").alias("src"), "soname").agg(F.max("times").alias("times")), "entries")
+    own = libraries.where("soname is not null").select("soname", path.alias("path")).distinct().join(files, "path")
+    first = own.groupBy("soname").agg(F.min("id").alias("dst"))  # numbers are in the order of the paths
+    asked = entries.select("soname").distinct().join(first, "soname", "left")
+    asked = materialise(asked.withColumn("dst", F.coalesce("dst", -1 - F.monotonically_increasing_id())), "asked")
+    edges = salted_lookup(entries, asked, "soname").groupBy("src", "dst").agg(F.sum("times").alias("times"))
+    return FileGraph(files, materialise(edges, "file-edges"), asked.where("dst < 0").select(F.col("dst").alias("id"), "soname"))
 
 
-def file_reach(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """(path, node, depth): the providers that each file of ``file_edges`` reaches, itself left out, with the fewest steps.
+def file_reach(graph: FileGraph, kept: DataFrame | None = None) -> DataFrame:
+    """(src, dst, depth, out) for what each file reaches, itself left out, with the fewest steps; ``out`` counts the resolved entries of ``dst``.
 
-    Only providers are walked from; a file has what its direct picks reach, one step further. With
-    ``kept`` (node), only these nodes come out.
+    Sonames that nothing provides are ends. Only providers are walked from; a file has what its direct picks reach, one
+    step further. With ``kept`` (dst), only these come out.
     """
-    picks = materialise(edges.where("node is not null").select("path", "node").distinct(), "picks")
-    among = picks.join(picks.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
-    reach = closure(among.select(F.col("path").alias("src"), F.col("node").alias("dst")))
-    direct = picks
+    providers = graph.edges.where("dst >= 0").select(F.col("dst").alias("src")).distinct()
+    reach = closure(graph.edges.select("src", "dst").join(providers, "src", "left_semi"))
+    out = graph.edges.where("dst >= 0").groupBy(F.col("src").alias("dst")).agg(F.sum("times").alias("out"))
+    direct, behind = graph.edges.select("src", "dst"), reach.select(F.col("root").alias("via"), F.col("node").alias("dst"), "depth")
     if kept is not None:
-        reach, direct = reach.join(kept, "node", "left_semi"), picks.join(kept, "node", "left_semi")
-    behind = reach.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
-    further = salted_lookup(picks, behind, "node").where("far is not null").select("path", F.col("far").alias("node"), (F.col("more") + 1).alias("depth"))
-    rows = direct.select("path", "node", F.lit(1).alias("depth")).unionByName(further).where("path <> node")
-    return materialise(rows.groupBy("path", "node").agg(F.min("depth").alias("depth")), "file-reach")
+        direct, behind = direct.join(kept, "dst", "left_semi"), behind.join(kept, "dst", "left_semi")
+    picks = graph.edges.where("dst >= 0").select("src", F.col("dst").alias("via"))
+    behind = materialise(salted_lookup(materialise(behind, "behind"), out, "dst"), "behind")
+    further = salted_lookup(picks, behind, "via").where("dst is not null").select("src", "dst", (F.col("depth") + 1).alias("depth"), "out")
+    rows = salted_lookup(materialise(direct, "direct"), out, "dst").select("src", "dst", F.lit(1).alias("depth"), "out").unionByName(further).where("src <> dst")
+    return rows.groupBy("src", "dst").agg(F.min("depth").alias("depth"), F.max("out").alias("out"))
+
+
+def file_closures(graph: FileGraph) -> DataFrame:
+    """(path, nodes, external, depth, edges, extra) of each file that needs anything.
+
+    ``nodes`` counts the providers that it reaches, ``external`` the sonames that it or one of them needs and nothing
+    provides, ``depth`` the steps to the farthest provider, ``edges`` the resolved entries of the file and of all that it reaches, as
+    often as they are listed and those that lead back, too; ``extra`` are those beyond a tree.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    known = F.col("dst") >= 0
+    sums = file_reach(graph).groupBy("src").agg(
+        F.count_if(known).alias("nodes"), F.count_if(~known).alias("external"), F.max(F.when(known, F.col("depth"))).alias("depth"), F.sum(F.when(known, F.col("out"))).alias("below")
+    )
+    own = graph.edges.groupBy("src").agg(F.sum(F.when(known, F.col("times"))).alias("own"))
+    rows = own.join(sums, "src", "left").join(graph.files.withColumnRenamed("id", "src"), "src")
+    edges = zero("own") + zero("below")
+    return rows.select(_path(), zero("nodes").alias("nodes"), zero("external").alias("external"), zero("depth").alias("depth"), edges.alias("edges"), (edges - zero("nodes")).alias("extra"))
 
 
 def _path() -> Column:
     return F.nullif(F.col("path"), F.lit(_NO_PATH)).alias("path")
 
 
-def file_closures(edges: DataFrame) -> DataFrame:
-    """(path, nodes, external, depth) of each file that needs anything: providers that it reaches, distinct sonames
-    that it or one of them needs and nothing provides, and steps to the farthest provider."""
-    reach = file_reach(edges)
-    missing = edges.where("node is null").groupBy("path").agg(F.collect_set("soname").alias("missing"))  # as long as one file's list at most
-    behind = salted_lookup(reach, missing.withColumnRenamed("path", "node"), "node").select("path", F.explode("missing").alias("soname"))
-    lost = behind.unionByName(edges.where("node is null").select("path", "soname")).distinct()
-    sizes = reach.groupBy("path").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
-    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    files = edges.select("path").distinct().join(sizes, "path", "left").join(lost.groupBy("path").agg(F.count("*").alias("external")), "path", "left")
-    return files.select(_path(), none("nodes"), none("external"), none("depth"))
+def file_shadowing(graph: FileGraph, exports: DataFrame) -> DataFrame:
+    """(path, symbol, n_direct, n_indirect): symbols that both a direct and an only indirect provider of a file define.
 
+    ``exports`` (path, symbol). A symbol that one file alone defines is passed over before the join.
+    """
+    defined = exports.where("symbol is not null").select(F.coalesce("path", F.lit(_NO_PATH)).alias("path"), "symbol").distinct()
+    defined = defined.join(graph.files, "path").select(F.col("id").alias("dst"), "symbol")
+    shared = materialise(defined.join(defined.groupBy("symbol").agg(F.count("*").alias("_n")).where("_n > 1"), "symbol", "left_semi"), "shared")
+    reach = materialise(file_reach(graph, shared.select("dst").distinct()).select("src", "dst", "depth"), "file-reach")
+    near = (F.col("depth") == 1).cast("bigint")
+    counted = salted_lookup(reach, shared, "dst").groupBy("src", "symbol").agg(F.sum(near).alias("n_direct"), F.sum(1 - near).alias("n_indirect"))
+    both = counted.where("n_direct > 0 and n_indirect > 0").join(graph.files.withColumnRenamed("id", "src"), "src")
+    return both.select(_path(), "symbol", "n_direct", "n_indirect")
 
-def file_diamonds(edges: DataFrame) -> DataFrame:
-    """(path, nodes, edges, extra) of each file that needs anything: resolved entries of the file and of all that it reaches, beyond those of a tree.
 
-    Entries count as often as they are listed, those that lead back too. Files that reach nothing keep a row with ``nodes`` = 0.
-    """
-    out = edges.groupBy("path").agg(F.coalesce(F.sum(F.when(F.col("node").isNotNull(), F.col("times"))), F.lit(0)).alias("_out"))
-    reached = salted_lookup(file_reach(edges), out.withColumnRenamed("path", "node"), "node").select("path", F.lit(1).alias("_node"), "_out")
-    rows = reached.unionByName(out.select("path", F.lit(0).alias("_node"), "_out"))
-    per_file = rows.groupBy("path").agg(F.sum("_node").alias("nodes"), F.coalesce(F.sum("_out"), F.lit(0)).alias("edges"))
-    return per_file.select(_path(), "nodes", "edges", (F.col("edges") - F.col("nodes")).alias("extra"))
+def diamond_totals(closures: DataFrame) -> DataFrame:
+    """(bucket, files, extra) of ``file_closures``: files that reach anything, by what they have beyond a tree; ``tree`` without."""
+    reached = closures.where("nodes > 0")
+    name = F.when(F.col("extra") <= 0, "tree").otherwise(bucket(F.col("extra"), EXTRA_CUTS, ">10000"))
+    return reached.groupBy(name.alias("bucket")).agg(F.count("*").alias("files"), F.sum(F.greatest("extra", F.lit(0))).alias("extra"))
 
 
-def file_shadowing(edges: DataFrame, exports: DataFrame) -> DataFrame:
-    """(path, symbol, n_direct, n_indirect): symbols that both a direct and an only indirect provider of a file define.
+def closure_ranks(closures: DataFrame, most: int = 25, least_edges: int = 50) -> DataFrame:
+    """(ranking, place, path, nodes, edges, extra): the first ``most`` files by size of closure, by extra edges and by their share.
 
-    ``exports`` (node, symbol), the node being a path. A symbol that one file alone defines is passed over before the join.
+    Ties: by size to the smaller path, by extra edges to the larger share and then the larger path; the share is
+    ranked among files with at least ``least_edges`` edges, ties to more extra edges, then the smaller path.
     """
-    defined = exports.where("node is not null and symbol is not null").distinct()
-    shared = materialise(defined.join(defined.groupBy("symbol").agg(F.count("*").alias("_n")).where("_n > 1"), "symbol", "left_semi"), "shared")
-    reach = file_reach(edges, shared.select("node").distinct())
-    near = (F.col("depth") == 1).cast("bigint")
-    counted = reach.join(shared, "node").groupBy("path", "symbol").agg(F.sum(near).alias("n_direct"), F.sum(1 - near).alias("n_indirect"))
-    return counted.where("n_direct > 0 and n_indirect > 0").select(_path(), "symbol", "n_direct", "n_indirect")
+    some, share = closures.where("nodes > 0"), F.col("extra") / F.col("edges")
+    spread = some.where("extra > 0")
+    orders = {
+        "nodes": (some, [F.desc("nodes"), F.col("path")]),
+        "extra": (spread, [F.desc("extra"), share.desc(), F.desc("path")]),
+        "share": (spread.where(F.col("edges") >= least_edges), [share.desc(), F.desc("extra"), F.col("path")]),
+    }
+    parts = []
+    for name, (rows, order) in orders.items():
+        first = rows.orderBy(*order).limit(most)  # a heap per task; the window then sees ``most`` rows
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
+        parts.append(first.select(F.lit(name).alias("ranking"), place.alias("place"), "path", "nodes", "edges", "extra"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def package_picks(dependencies: DataFrame, providers: DataFrame) -> DataFrame:

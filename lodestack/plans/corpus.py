@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import scalars as S
 from lodestack.functions.records import clean_path, keys_of, library_key, package_of, term
 from lodestack.operators import graph, incremental, lint, metrics, ranges, rules, sampling
-from lodestack.session import table
+from lodestack.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -383,8 +383,8 @@ _REACH = _USES.replace("with lib", "with recursive lib") + """, reach as (select
 
 @query(_REACH + """, depth as (select root, count(*) as nodes, count(*) filter (node not in (select soname from lib where soname is not null)) as external from reach group by 1)
     select * from depth""")
-def closure_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Libraries that each library needs, directly or not, and those of them that nothing provides."""
+def soname_closures(spark: SparkSession, d: str) -> DataFrame:
+    """Sonames that each soname needs, directly or not, and those of them that nothing provides; files of one soname are one node."""
     reach = graph.closure(_edges(spark, d))
     known = _libraries(spark, d).where("soname is not null").select(F.col("soname").alias("node"), F.lit(1).alias("own")).distinct()
     return reach.join(known, "node", "left").groupBy("root").agg(F.count("*").alias("nodes"), F.count_if(F.col("own").isNull()).alias("external"))
@@ -392,45 +392,119 @@ def closure_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_REACH + " select a.root as node, min(a.node) as component from reach a join reach b on a.root = b.node and a.node = b.root group by 1")
 def library_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.cycles(graph.closure(_edges(spark, d)))
+    """Sonames on cycles: what can't be on one is trimmed, so that only the rest is closed over."""
+    return graph.cycles(graph.closure(graph.trimmed(_edges(spark, d))))
 
 
 @query(_REACH + """, nodes as (select root, node from reach union select root, root from reach)
     select root, count(*) filter (nodes.node <> root) as nodes, coalesce(sum(d), 0)::bigint as edges, coalesce(sum(d), 0)::bigint - count(*) filter (nodes.node <> root) as extra
     from nodes left join (select src, count(*) as d from edges group by 1) o on o.src = nodes.node group by root""")
-def closure_diamonds(spark: SparkSession, d: str) -> DataFrame:
+def soname_diamonds(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     return graph.diamonds(graph.closure(edges), edges)
 
 
-@query(_REACH + """, ex as (select distinct soname as node, unnest(exports) as symbol from graph_record where soname is not null),
-    near as (select src as root, dst as node, 1 as near from edges union all select root, node, 0 from reach where root <> node and (root, node) not in (select src, dst from edges))
-    select root, symbol, sum(near)::bigint as n_direct, sum(1 - near)::bigint as n_indirect from near join ex using (node) group by 1, 2 having sum(near) > 0 and sum(1 - near) > 0""")
+#: Files with their entries, resolved to the first provider; what each reaches; the measures of each.
+_FILES = _USES.replace("with lib", "with recursive lib") + """, listed as (select path, r, unnest(needed) as soname from (select path, needed, row_number() over () as r from lib)),
+    entries as (select path as src, soname, max(n) as times from (select path, r, soname, count(*) as n from listed group by all) group by all),
+    first as (select soname, min(path) as dst from lib where soname is not null group by 1),
+    e as (select src, coalesce(dst, '?' || entries.soname) as dst, dst is not null as known, times from entries left join first using (soname)),
+    walk as (select src, dst from e union select walk.src, e.dst from walk join e on e.src = walk.dst),
+    outs as (select src, coalesce(sum(times) filter (known), 0)::bigint as n from e group by 1),
+    sums as (select walk.src, count(*) filter (walk.dst not like '?%') as nodes, count(*) filter (walk.dst like '?%') as external, coalesce(sum(n), 0)::bigint as below
+        from walk left join outs on outs.src = walk.dst where walk.src <> walk.dst group by 1),
+    sizes as (select outs.src as path, coalesce(nodes, 0)::bigint as nodes, coalesce(external, 0)::bigint as external, n + coalesce(below, 0)::bigint as edges, n + coalesce(below, 0)::bigint - coalesce(nodes, 0)::bigint as extra
+        from outs left join sums on sums.src = outs.src)"""
+
+
+def _closures(spark: SparkSession, d: str) -> DataFrame:
+    return graph.file_closures(graph.file_graph(_libraries(spark, d)))
+
+
+@query(_FILES + " select path, nodes, external from sizes")
+def closure_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Each file that needs anything, programs too: providers that it reaches by the first provider of each soname, and sonames that nothing provides."""
+    return _closures(spark, d).select("path", "nodes", "external")
+
+
+@query(_FILES + """, level(src, dst, d) using key (src, dst) as (select src, dst, 1 from e where known and src <> dst
+        union select l.src, e.dst, min(l.d) + 1 from level l join e on e.src = l.dst and known and e.dst <> l.src where not exists (select 1 from recurring.level x where x.src = l.src and x.dst = e.dst) group by 1, 2)
+    select outs.src as path, coalesce(max(d), 0)::bigint as depth from outs left join level on level.src = outs.src group by 1""")
+def closure_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Steps from each file to the farthest provider that it reaches."""
+    return _closures(spark, d).select("path", "depth")
+
+
+@query(_FILES + " select path, nodes, edges, extra from sizes where nodes > 0")
+def closure_diamonds(spark: SparkSession, d: str) -> DataFrame:
+    return _closures(spark, d).where("nodes > 0").select("path", "nodes", "edges", "extra")
+
+
+@query(_FILES + """ select case when extra <= 0 then 'tree' when extra <= 1 then '1' when extra <= 2 then '2' when extra <= 5 then '3-5' when extra <= 10 then '6-10' when extra <= 20 then '11-20' when extra <= 50 then '21-50'
+    when extra <= 100 then '51-100' when extra <= 200 then '101-200' when extra <= 500 then '201-500' when extra <= 1000 then '501-1000' when extra <= 10000 then '1001-10000' else '>10000' end as bucket, count(*) as files,
+    sum(greatest(extra, 0))::bigint as extra from sizes where nodes > 0 group by 1""")
+def diamond_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return graph.diamond_totals(_closures(spark, d))
+
+
+@query(_FILES + " select nodes as size, count(*) as files from sizes group by 1")
+def closure_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return _closures(spark, d).groupBy(F.col("nodes").alias("size")).agg(F.count("*").alias("files"))
+
+
+@query(_FILES + """, spread as (select *, extra / edges as share from sizes where nodes > 0 and extra > 0),
+    ranked as (select 'nodes' as ranking, row_number() over (order by nodes desc, path) as place, path, nodes, edges, extra from sizes where nodes > 0
+        union all select 'extra', row_number() over (order by extra desc, share desc, path desc), path, nodes, edges, extra from spread
+        union all select 'share', row_number() over (order by share desc, extra desc, path), path, nodes, edges, extra from spread where edges >= 50)
+    select ranking, place::int as place, path, nodes, edges, extra from ranked where place <= 25""")
+def closure_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure_ranks(materialise(_closures(spark, d), "closures"))
+
+
+@query(_FILES + """, outdeg as (select path, max(len(needed)) as out_degree from lib where len(needed) > 0 group by 1) select path, out_degree::int as out_degree from outdeg order by 2 desc, 1 limit 50""")
+def out_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 files with the longest lists."""
+    sizes = _libraries(spark, d).groupBy("path").agg(F.max(F.size("needed")).alias("out_degree")).where("out_degree > 0")
+    return sampling.top(sizes, [F.desc("out_degree"), F.col("path")], 50)
+
+
+def _shadow(symbol: str) -> str:
+    return _FILES + f""", ex as (select path as dst, {symbol} as symbol from (select path, soname, unnest(exports) as x from graph_record) where nullif(regexp_extract(trim(soname, E' \\t\\r\\n'), '[^/]*$'), '') is not null),
+    near as (select w.src, w.dst, e.src is not null as direct from walk w left join e on e.src = w.src and e.dst = w.dst where w.src <> w.dst and w.dst not like '?%'),
+    shadow as (select src as path, symbol, count(*) filter (direct) as n_direct, count(*) filter (not direct) as n_indirect from near join (select distinct * from ex where symbol is not null) x using (dst) group by 1, 2
+        having count(*) filter (direct) > 0 and count(*) filter (not direct) > 0)"""
+
+
+def _shadowed(spark: SparkSession, d: str, symbol: Column) -> DataFrame:
+    rows = table(spark, d, "graph_record").where(library_key(F.col("soname")).isNotNull()).select("path", F.explode("exports").alias("x"))
+    return graph.file_shadowing(graph.file_graph(_libraries(spark, d)), rows.select("path", symbol.alias("symbol")))
+
+
+@query(_shadow("x") + " select * from shadow")
 def shadowed_symbols(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
-    exports = table(spark, d, "graph_record").where("soname is not null").select(F.col("soname").alias("node"), F.explode("exports").alias("symbol"))
-    return graph.shadowing(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")), graph.closure(edges), exports)
+    """Symbols that a file gets from a direct provider while a provider that it reaches only indirectly defines them, too."""
+    return _shadowed(spark, d, F.col("x"))
 
 
-def _file_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.file_edges(_libraries(spark, d))
+def _verb() -> Column:
+    return F.nullif(F.regexp_extract("x", "_([^_]+)$", 1), F.lit(""))
 
 
-@query()
-def file_closures(spark: SparkSession, d: str) -> DataFrame:
-    """As ``closure_sizes``, for each file that needs anything, programs too, by the first provider of each soname."""
-    return graph.file_closures(_file_edges(spark, d))
+_VERB_SQL = "nullif(regexp_extract(x, '_([^_]+)$', 1), '')"
 
 
-@query()
-def file_diamonds(spark: SparkSession, d: str) -> DataFrame:
-    return graph.file_diamonds(_file_edges(spark, d))
+@query(_shadow(_VERB_SQL) + " select * from shadow")
+def shadowed_verbs(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the last part of the symbols' names, which base libraries do share."""
+    return _shadowed(spark, d, _verb())
 
 
-@query()
-def file_shadowing(spark: SparkSession, d: str) -> DataFrame:
-    exports = table(spark, d, "graph_record").where(library_key(F.col("soname")).isNotNull()).select(F.col("path").alias("node"), F.explode("exports").alias("symbol"))
-    return graph.file_shadowing(_file_edges(spark, d), exports)
+@query(_shadow(_VERB_SQL) + """ select * from (select 'consumer' as what, path as name, count(*) as n from shadow group by 2 order by 3 desc, 2 desc limit 25)
+    union all select * from (select 'symbol', symbol, count(*) from shadow group by 2 order by 3 desc, 2 limit 25)""")
+def shadowing_ranks(spark: SparkSession, d: str) -> DataFrame:
+    found = materialise(_shadowed(spark, d, _verb()), "shadowed")
+    ranked = lambda what, key, tie: sampling.top(found.groupBy(F.col(key).alias("name")).agg(F.count("*").alias("n")), [F.desc("n"), tie], 25).select(F.lit(what).alias("what"), "name", "n")
+    return ranked("consumer", "path", F.desc("name")).unionByName(ranked("symbol", "symbol", F.col("name")))
 
 
 @query("""with paths as (select unnest(coalesce(rpath, [])) as p, 'rpath' as field from program_reports union all select unnest(coalesce(runpath, [])), 'runpath' from program_reports)

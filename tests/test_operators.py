@@ -138,9 +138,9 @@ def test_programs_have_closures_diamonds_and_shadowing(spark):
         reached[start] = seen - {start}
         edges = sum(n for a in seen for k, n in needs.get(a, {}).items() if k in first)
         shapes[start] = (len(seen) - 1, len({k for a in seen for k in needs.get(a, ()) if k not in first}), depth, edges, edges - len(seen) + 1)
-    of_files = graph.file_edges(libraries)
-    assert {r.path: (r.nodes, r.external, r.depth) for r in graph.file_closures(of_files).collect()} == {p: x[:3] for p, x in shapes.items()}
-    assert {r.path: (r.nodes, r.edges, r.extra) for r in graph.file_diamonds(of_files).collect()} == {p: (x[0], *x[3:]) for p, x in shapes.items()}
+    of_files = graph.file_graph(libraries)
+    measures = graph.file_closures(of_files)
+    assert {r.path: (r.nodes, r.external, r.depth, r.edges, r.extra) for r in measures.collect()} == shapes
     assert shapes["bin/deep"][:4] == (11, 1, 11, 12) and shapes["bin/alone"] == (0, 1, 0, 0, 0) and len(shapes) > 70
     defines = {p: {f"f{i % 5}", f"own{i}"} for i, (p, s, _) in enumerate(rows) if s}
     want = {}
@@ -150,10 +150,10 @@ def test_programs_have_closures_diamonds_and_shadowing(spark):
             near, far = (sum(symbol in defines.get(n, ()) for n in part) for part in (direct, nodes - direct))
             if near and far:
                 want[p, symbol] = (near, far)
-    exports = spark.createDataFrame([(p, x) for p, symbols in defines.items() for x in symbols] * 2, "node string, symbol string")
+    exports = spark.createDataFrame([(p, x) for p, symbols in defines.items() for x in symbols] * 2, "path string, symbol string")
     got = {(r.path, r.symbol): (r.n_direct, r.n_indirect) for r in graph.file_shadowing(of_files, exports).collect()}
     assert got == want and any(p and p.startswith("bin/") for p, _ in want)
-    assert graph.file_closures(graph.file_edges(libraries.limit(0))).count() == 0
+    assert graph.file_closures(graph.file_graph(libraries.limit(0))).count() == 0
 
 
 def test_verset_mismatches_compare_requested_with_declared(spark, tmp_path):

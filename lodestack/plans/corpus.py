@@ -78,7 +78,7 @@ def lint_failures(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- kinds and categories -----------------------------------------------------------------
 
-_ELF = f"""with elf as (select *, len(list_filter(program_headers, lambda p: p.p_type = 1)) = 0 or len(list_filter(program_headers, lambda p: p.p_type = 1 and p.filesz > p.memsz)) > 0 as malformed,
+_ELF = f"""with elf as (select *, coalesce(header.elf_type in (2, 3) and coalesce(len(list_filter(program_headers, lambda p: p.p_type = 1)), 0) = 0, false) or coalesce(len(list_filter(program_headers, lambda p: p.p_type = 1 and p.filesz > p.memsz)), 0) > 0 as malformed,
     {_PATH.format('source.relative')} as rel, {_PATH.format('source.relative')} like '%/usr/lib/debug/%' or regexp_matches({_PATH.format('source.relative')}, '\\.(debug|dbg)$') as debug from elf_reports),
     cat as (select *, case when debug then 'debuginfo' when kind = 'relocatable' then 'relocatable' when kind in ('core', 'other', 'wrong_format') or header.machine_name is null then 'other'
         when header.machine_name <> 'EM_X86_64' then 'cross_arch' else 'loadable' end as category from elf)"""
@@ -96,7 +96,7 @@ def _elf(spark: SparkSession, d: str) -> DataFrame:
     when header.elf_type = 3 and role_evidence.has_pt_dynamic then 'dso' else 'load_image' end as computed, count(*) as n from elf group by all""")
 def kind_check(spark: SparkSession, d: str) -> DataFrame:
     """The kind that the structure gives against the one that the report states."""
-    computed = rules.kind(malformed=rules.lists_no_load())
+    computed = rules.kind(malformed=rules.malformed())
     return _elf(spark, d).groupBy(F.col("kind").alias("stated"), computed.alias("computed")).agg(F.count("*").alias("n"))
 
 
@@ -237,13 +237,18 @@ def entry_bits(spark: SparkSession, d: str) -> DataFrame:
 
 _BAD = """, p as (select report_id, category, rel, header as h, program_headers as ph, format as f from cat),
     hits as (select report_id, category, rel, unnest([
-        {'anomaly': 'ehdr_ehsize_nonstandard', 'hits': (h.ehsize not in (0, 64))::int}, {'anomaly': 'ehdr_phentsize_nonstandard', 'hits': (h.phentsize not in (0, 56))::int},
-        {'anomaly': 'ehdr_shentsize_nonstandard', 'hits': (h.shentsize not in (0, 64))::int}, {'anomaly': 'ehdr_ident_version', 'hits': (f.ident_version <> 1)::int},
-        {'anomaly': 'ehdr_object_version', 'hits': (h.version <> 1)::int}, {'anomaly': 'ehdr_unknown_etype', 'hits': (h.elf_type not in (0, 1, 2, 3, 4))::int},
+        {'anomaly': 'ehdr_ehsize_nonstandard', 'hits': (case f.class when 2 then h.ehsize not in (0, 64) when 1 then h.ehsize not in (0, 52) end)::int},
+        {'anomaly': 'ehdr_phentsize_nonstandard', 'hits': (case f.class when 2 then h.phentsize not in (0, 56) when 1 then h.phentsize not in (0, 32) end)::int},
+        {'anomaly': 'ehdr_shentsize_nonstandard', 'hits': (case f.class when 2 then h.shentsize not in (0, 64) when 1 then h.shentsize not in (0, 40) end)::int}, {'anomaly': 'ehdr_ident_version', 'hits': (f.ident_version <> 1)::int},
+        {'anomaly': 'ehdr_object_version', 'hits': (h.version <> 1)::int}, {'anomaly': 'ehdr_unknown_etype', 'hits': (h.elf_type between 5 and 65023)::int},
         {'anomaly': 'ehdr_phoff_zero_phnum_nonzero', 'hits': (h.phoff = 0 and h.phnum <> 0)::int}, {'anomaly': 'ehdr_phoff_nonzero_phnum_zero', 'hits': (h.phoff <> 0 and h.phnum = 0)::int},
         {'anomaly': 'ehdr_exec_no_phdr', 'hits': (h.phoff = 0 and h.elf_type in (2, 3))::int}, {'anomaly': 'ehdr_shoff_zero_shnum_nonzero', 'hits': (h.shoff = 0 and h.shnum <> 0)::int},
-        {'anomaly': 'arch_mismatch', 'hits': (h.machine_name <> 'EM_X86_64')::int},
-        {'anomaly': 'ph_unknown_type', 'hits': len(list_filter(ph, lambda x: coalesce(upper(TERM) not in ('PT_NULL', 'PT_LOAD', 'PT_DYNAMIC', 'PT_INTERP', 'PT_NOTE', 'PT_SHLIB', 'PT_PHDR', 'PT_TLS', 'PT_GNU_EH_FRAME', 'PT_GNU_STACK', 'PT_GNU_RELRO', 'PT_GNU_PROPERTY'), true)))},
+        {'anomaly': 'arch_mismatch', 'hits': (trim(h.machine_name) not in ('', 'EM_X86_64') and not regexp_matches(lower(trim(h.machine_name)), '^(unknown|0x)'))::int},
+        {'anomaly': 'ehdr_unknown_machine', 'hits': (h is not null and regexp_matches(lower(coalesce(trim(h.machine_name), '')), '^(unknown|0x|$)'))::int},
+        {'anomaly': 'ph_unknown_type', 'hits': len(list_filter(ph, lambda x: coalesce(regexp_matches(TERM, '^([uU][nN][kK][nN][oO][wW][nN]|0[xX]|PT_LO|PT_HI)') and TERM <> 'PT_LOAD' and not regexp_matches(TERM, '^PT_(LOOS|HIOS|LOPROC|HIPROC|ARM|MIPS|RISCV|AARCH64|HP|IA_64|S390)'), false)))},
+        {'anomaly': 'ph_load_not_sorted', 'hits': (len(list_filter(list_sort(list_transform(list_filter(ph, lambda x: x.p_type = 1), lambda x: x.index)), lambda i: len(list_filter(ph, lambda y: y.p_type = 1 and y.index < i
+            and y.index = list_max(list_transform(list_filter(ph, lambda z: z.p_type = 1 and z.index < i), lambda z: z.index)) and y.vaddr >= list_filter(ph, lambda z: z.index = i)[1].vaddr)) > 0)) > 0)::int},
+        {'anomaly': 'ph_interp_after_load', 'hits': (list_max(list_transform(list_filter(ph, lambda x: x.p_type = 3), lambda x: x.index)) > list_min(list_transform(list_filter(ph, lambda x: x.p_type = 1), lambda x: x.index)))::int},
         {'anomaly': 'ph_load_wx', 'hits': len(list_filter(ph, lambda x: x.p_type = 1 and x.flags & 2 <> 0 and x.flags & 1 <> 0))},
         {'anomaly': 'ph_load_filesz_gt_memsz', 'hits': len(list_filter(ph, lambda x: x.p_type = 1 and x.filesz > x.memsz))},
         {'anomaly': 'ph_exec_stack', 'hits': len(list_filter(ph, lambda x: x.p_type = 1685382481 and x.flags & 1 <> 0))},
@@ -279,6 +284,27 @@ def anomaly_matrix(spark: SparkSession, d: str) -> DataFrame:
     return wide.na.fill(0)
 
 
+@query(_ELF + _BAD + """ select case anomaly when 'ehdr_unknown_machine' then 'unknown_machine' else anomaly end as outlier, category, count(*) as n from bad where anomaly in ('arch_mismatch', 'ehdr_unknown_machine') group by all""")
+def outlier_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers that file headers show; the others need dynamic sections."""
+    return rules.outliers(_anomalies(spark, d)).groupBy("outlier", "category").agg(F.count("*").alias("n"))
+
+
+@query(_ELF + """ select kind, coalesce(header.machine = 62 and header.elf_type in (2, 3) and len(list_filter(program_headers, lambda p: p.p_type = 1)) > 0 and kind not in ('wrong_format', 'wrong_machine'), false) as candidate,
+    kind in ('dynamic_program', 'static_program') as program, count(*) as n from elf group by all""")
+def load_candidates(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("kind")
+    return _elf(spark, d).groupBy("kind", rules.is_load_candidate(kind).alias("candidate"), rules.is_program(kind).alias("program")).agg(F.count("*").alias("n"))
+
+
+@query(_SEGMENTS.replace("select report_id, program_headers", "select report_id, header.machine_name as machine, program_headers").replace("unnest(program_headers", "machine, unnest(program_headers")
+    + f" select machine, {_TERM.format('p_type_name')} as name, count(*) as n from seg group by all")
+def segment_types_by_machine(spark: SparkSession, d: str) -> DataFrame:
+    """A counter within a counter: types per machine."""
+    rows = table(spark, d, "elf_reports").select(F.col("header.machine_name").alias("machine"), F.inline("program_headers"))
+    return rows.groupBy("machine", term(F.col("p_type_name")).alias("name")).agg(F.count("*").alias("n"))
+
+
 @query(_ELF + _BAD + " select anomaly, report_id, rel from (select *, row_number() over (partition by anomaly order by md5(anomaly || '|' || rel || '|' || report_id), report_id) as r from bad) where r <= 200")
 def anomaly_samples(spark: SparkSession, d: str) -> DataFrame:
     found = _anomalies(spark, d)

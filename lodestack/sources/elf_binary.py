@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import CLASSES, ENCODINGS, FILE_TYPES, MACHINES, SEGMENT_TYPES, flag_names, named
-from lodestack.operators.rules import entry_in_executable, kind
+from lodestack.operators.rules import entry_in_executable, kind, malformed
 
 MAGIC = b"\x7fELF"
 _HEADER = struct.Struct("<HHIQQQIHHHHHH")
@@ -29,16 +29,16 @@ _NEEDED, _STRTAB, _STRSZ, _SONAME, _RPATH, _RUNPATH, _FLAGS, _FLAGS_1 = 1, 5, 10
 _PIE = 0x08000000
 
 _U64 = pa.decimal128(20, 0)
-_SEGMENT_TYPE = pa.struct([("index", pa.int32()), ("p_type", pa.int64()), ("flags", pa.int32()), *[(n, _U64) for n in "offset vaddr paddr filesz memsz align".split()]])
+_SEGMENT_TYPE = pa.struct([("index", pa.int32()), ("p_type", pa.int64()), ("flags", pa.int64()), *[(n, _U64) for n in "offset vaddr paddr filesz memsz align".split()]])
 _SCHEMA = pa.schema([
-    ("path", pa.string()), ("class", pa.int32()), ("data", pa.int32()), ("ident_version", pa.int32()),
+    ("path", pa.string()), ("class", pa.int32()), ("data", pa.int32()), ("ident_version", pa.int32()), ("abi_version", pa.int32()), ("padding", pa.list_(pa.int32())), ("bad_table", pa.bool_()),
     ("header", pa.struct([(n, _U64) for n in _HEADER_NAMES])), ("program_headers", pa.list_(_SEGMENT_TYPE)), ("interpreter", pa.string()),
     ("dynamic", pa.struct([("needed", pa.list_(pa.string())), ("soname", pa.string()), ("rpath", pa.list_(pa.string())), ("runpath", pa.list_(pa.string())), ("flags", _U64), ("flags_1", _U64), ("terminated", pa.bool_())])),
     ("issues", pa.list_(pa.string())),
 ])
-_SEGMENT_DDL = "array<struct<index int, p_type bigint, flags int, " + ", ".join(f"{n} decimal(20,0)" for n in "offset vaddr paddr filesz memsz align".split()) + ">>"
+_SEGMENT_DDL = "array<struct<index int, p_type bigint, flags bigint, " + ", ".join(f"{n} decimal(20,0)" for n in "offset vaddr paddr filesz memsz align".split()) + ">>"
 _DDL = (
-    "path string, class int, data int, ident_version int, header struct<" + ", ".join(f"{n} decimal(20,0)" for n in _HEADER_NAMES) + f">, program_headers {_SEGMENT_DDL}, interpreter string, "
+    "path string, class int, data int, ident_version int, abi_version int, padding array<int>, bad_table boolean, header struct<" + ", ".join(f"{n} decimal(20,0)" for n in _HEADER_NAMES) + f">, program_headers {_SEGMENT_DDL}, interpreter string, "
     "dynamic struct<needed array<string>, soname string, rpath array<string>, runpath array<string>, flags decimal(20,0), flags_1 decimal(20,0), terminated boolean>, issues array<string>"
 )
 
@@ -47,19 +47,20 @@ def _text(image: bytes, at: int, end: int) -> str:
     return image[at:end].split(b"\0", 1)[0].decode("utf-8", "replace")
 
 
-def _segments(image: bytes, header: dict, issues: list[str]) -> list[dict]:
+def _segments(image: bytes, header: dict, issues: list[str]) -> tuple[list[dict], bool]:
+    """The segments up to the end of the file, and whether the table is bad."""
     size, start, out = header["phentsize"], header["phoff"], []
     if header["phnum"] and size < _SEGMENT.size:
         issues.append("segment entries are too small")
-        return out
+        return out, True
     for index in range(header["phnum"]):
         at = start + index * size
         if at + _SEGMENT.size > len(image):
             issues.append("segment table leads past the end of the file")
-            break
+            return out, True
         values = _SEGMENT.unpack_from(image, at)
         out.append({"index": index} | dict(zip(("p_type", "flags", "offset", "vaddr", "paddr", "filesz", "memsz", "align"), values)))
-    return out
+    return out, False
 
 
 def _dynamic(image: bytes, segments: list[dict], issues: list[str]) -> dict | None:
@@ -96,13 +97,14 @@ def _dynamic(image: bytes, segments: list[dict], issues: list[str]) -> dict | No
 def decode(path: str, image: bytes) -> dict:
     """One image as a row; what can't be read is null or left out and listed in ``issues``."""
     issues: list[str] = []
-    row = {"path": path, "class": image[4] if len(image) > 4 else None, "data": image[5] if len(image) > 5 else None, "ident_version": image[6] if len(image) > 6 else None, "header": None, "program_headers": [], "interpreter": None, "dynamic": None, "issues": issues}
+    row = {"path": path, "class": image[4] if len(image) > 4 else None, "data": image[5] if len(image) > 5 else None, "ident_version": image[6] if len(image) > 6 else None, "abi_version": image[8] if len(image) > 8 else None, "padding": list(image[9:16]), "bad_table": False, "header": None, "program_headers": [], "interpreter": None, "dynamic": None, "issues": issues}
     if len(image) < 64 or (row["class"], row["data"], row["ident_version"]) != (2, 1, 1):
         return row
     header = row["header"] = dict(zip(_HEADER_NAMES, _HEADER.unpack_from(image, 16)))
     if header["elf_type"] in (1, 4):
         return row
-    segments = row["program_headers"] = _segments(image, header, issues)
+    segments, row["bad_table"] = _segments(image, header, issues)
+    row["program_headers"] = segments
     if header["machine"] != 62:
         return row
     interp = next((s for s in segments if s["p_type"] == 3), None)
@@ -131,9 +133,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return value
 
     for batch in batches:
+        rows, size = [], 0
         for path, content in zip(batch.column(0), batch.column(1)):  # one image at a time: images may be large
             row = decode(path.as_py(), content.as_py())
-            yield pa.RecordBatch.from_pylist([{f.name: fit(row[f.name], f.type) for f in _SCHEMA}], schema=_SCHEMA)
+            rows.append({f.name: fit(row[f.name], f.type) for f in _SCHEMA})
+            size += 1 + len(row["program_headers"])
+            if size > 5_000:
+                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,14 +164,12 @@ def structure(images: DataFrame) -> DataFrame:
         F.coalesce(entry_in_executable(h["entry"]), F.lit(False)).alias("entry_in_executable_load"), F.col("dynamic.soname").isNotNull().alias("has_soname"),
         F.coalesce((F.col("dynamic.flags_1") % (2 * _PIE)) >= _PIE, F.lit(False)).alias("df_1_pie"),
     )
-    too_large = F.exists("program_headers", lambda p: (p["p_type"] == 1) & (p["filesz"] > p["memsz"]))
-    bad = (F.size("issues") > 0) | too_large | ~c(1)
     rows = rows.withColumn("role_evidence", evidence)
     segments = F.transform("program_headers", lambda p: p.withField("p_type_name", named(p["p_type"], SEGMENT_TYPES)).withField("flags_names", flag_names(p["flags"])))
     return rows.select(
         "path", "class", named(F.col("class"), CLASSES).alias("class_name"), named(F.col("data"), ENCODINGS).alias("data_name"), "header",
         named(code("elf_type"), FILE_TYPES).alias("elf_type_name"), named(code("machine"), MACHINES).alias("machine_name"), segments.alias("program_headers"),
-        "interpreter", "dynamic", "role_evidence", "issues", kind(malformed=bad).alias("kind"),
+        "interpreter", "dynamic", "role_evidence", "issues", kind(malformed=malformed(bad_table=F.col("bad_table"))).alias("kind"), "abi_version", "padding",
     )
 
 

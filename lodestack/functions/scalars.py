@@ -19,6 +19,18 @@ MESSAGE_REWRITES = (
     (r"\s+", " "),
 )
 
+# Codes and names of relocations, of entries of the auxiliary vector, and of loader states.
+RELOCATIONS = {
+    0: "NONE", 1: "64", 2: "PC32", 3: "GOT32", 4: "PLT32", 5: "COPY", 6: "GLOB_DAT", 7: "JUMP_SLOT", 8: "RELATIVE", 9: "GOTPCREL", 10: "32", 11: "32S", 12: "16", 13: "PC16", 14: "8",
+    15: "PC8", 16: "DTPMOD64", 17: "DTPOFF64", 18: "TPOFF64", 19: "TLSGD", 20: "TLSLD", 21: "DTPOFF32", 22: "GOTTPOFF", 23: "TPOFF32", 24: "PC64", 25: "GOTOFF64", 26: "GOTPC32", 36: "TLSDESC", 37: "IRELATIVE",
+}
+AUXILIARY = {
+    0: "AT_NULL", 1: "AT_IGNORE", 2: "AT_EXECFD", 3: "AT_PHDR", 4: "AT_PHENT", 5: "AT_PHNUM", 6: "AT_PAGESZ", 7: "AT_BASE", 8: "AT_FLAGS", 9: "AT_ENTRY", 10: "AT_NOTELF", 11: "AT_UID", 12: "AT_EUID", 13: "AT_GID",
+    14: "AT_EGID", 15: "AT_PLATFORM", 16: "AT_HWCAP", 17: "AT_CLKTCK", 23: "AT_SECURE", 24: "AT_BASE_PLATFORM", 25: "AT_RANDOM", 26: "AT_HWCAP2", 27: "AT_RSEQ_FEATURE_SIZE", 28: "AT_RSEQ_ALIGN", 31: "AT_EXECFN",
+    32: "AT_SYSINFO", 33: "AT_SYSINFO_EHDR", 51: "AT_MINSIGSTKSZ",
+}
+LOADER_STATES = {0: "RT_CONSISTENT", 1: "RT_ADD", 2: "RT_DELETE"}
+
 # Bits and names of segment flags.
 SEGMENT_FLAGS = ((4, "PF_R"), (2, "PF_W"), (1, "PF_X"))
 
@@ -163,10 +175,10 @@ def relocation_family(name: Column) -> Column:
     upper = F.upper(name)
     return (
         F.when(upper.contains("IRELATIVE"), "ifunc")
-        .when(upper.endswith("RELATIVE"), "relative")
+        .when(upper.contains("RELATIVE"), "relative")
         .when(upper.endswith("_COPY"), "copy")
         .when(upper.contains("JUMP_SLOT") | upper.contains("JMP_SLOT"), "plt")
-        .when(upper.rlike("TPOFF|DTPMOD|DTPOFF|TLSDESC|TPREL|DTPREL"), "tls")
+        .when(upper.rlike("TLS|TPOFF|DTPOFF|DTPMOD"), "tls")
         .when(name.isNotNull(), "other")
     )
 
@@ -207,7 +219,7 @@ def package_name(directory: Column) -> Column:
 
 def feature_list(text: Column) -> list[Column]:
     """(head, items) of ``head: a, b``."""
-    items = F.transform(F.split(F.substring_index(text, ":", -1), ","), lambda x: F.trim(x))
+    items = F.transform(F.split(F.when(F.instr(text, ":") > 0, F.substring(text, F.instr(text, ":") + 1, F.length(text))).otherwise(""), ","), lambda x: F.trim(x))
     return [F.trim(F.substring_index(text, ":", 1)).alias("head"), F.filter(items, lambda x: x != "").alias("items")]
 
 
@@ -228,21 +240,37 @@ def blake_draw(text: pd.Series) -> pd.Series:
     return text.map(score, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf(T.StringType())
-def resolved_path(path: pd.Series) -> pd.Series:
-    """An archive member's path without ``.`` and ``..``; null where it is absolute, empty or leads out of the archive."""
-
-    def one(text: str) -> str | None:
-        if text is None or text.startswith("/"):
-            return None
-        out: list[str] = []
-        for part in text.split("/"):
-            if part == "..":
-                if not out:
-                    return None
-                out.pop()
-            elif part not in ("", "."):
-                out.append(part)
-        return "/".join(out) or None
-
-    return path.map(one, na_action="ignore")
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+
+
+def archive_path(path: Column) -> Column:
+    """An archive member's path without empty and ``.`` components; null where it is absolute, empty or has ``..``."""
+    parts = _parts(path)
+    return F.when(~path.startswith("/") & (F.size(parts) > 0) & ~F.array_contains(parts, ".."), F.array_join(parts, "/"))
+
+
+def link_target(link: Column, target: Column) -> Column:
+    """The target of a symbolic link as a path in its package, resolved against the link's folder; null where it leads out or is empty."""
+    folder = F.slice(_parts(link), 1, F.greatest(F.size(_parts(link)) - 1, F.lit(0)))
+    steps = F.when(target.startswith("/"), _parts(target)).otherwise(F.concat(folder, _parts(target)))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(True).alias("inside"))
+    up = lambda acc: F.struct(F.slice(acc["path"], 1, F.greatest(F.size(acc["path"]) - 1, F.lit(0))).alias("path"), (acc["inside"] & (F.size(acc["path"]) > 0)).alias("inside"))
+    down = lambda acc, x: F.struct(F.concat(acc["path"], F.array(x)).alias("path"), acc["inside"].alias("inside"))
+    walked = F.aggregate(steps, start, lambda acc, x: F.when(x == "..", up(acc)).otherwise(down(acc, x)))
+    return F.when((target != "") & walked["inside"], F.array_join(walked["path"], "/"))
+
+
+def relative_path(folder: Column, target: Column) -> Column:
+    """``target`` as seen from ``folder``: ``..`` for each level up, ``.`` for the folder itself."""
+    a, b = _parts(folder), _parts(target)
+    same = F.transform(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: x)
+    differs = F.array_position(same, False)
+    common = F.when(differs > 0, differs - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+    out = F.concat(F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0))))
+    return F.when(F.size(out) == 0, ".").otherwise(F.array_join(out, "/"))
+
+
+def count_of(value: Column) -> Column:
+    """A count given as a number or as an object with one, else 0."""
+    return F.coalesce(value.try_cast("bigint"), F.get_json_object(value, "$.n").try_cast("bigint"), F.lit(0))

@@ -258,6 +258,35 @@ def package_picks(dependencies: DataFrame, providers: DataFrame) -> DataFrame:
     return dependencies.join(chosen, F.col("dep") == F.col("tag"), "left").select("name", "dep", "pick", "priority")
 
 
+def package_graph(packages: DataFrame, providers: DataFrame) -> FileGraph:
+    """Packages and, for each distinct dependency, the provider that ``package_picks`` takes, as a graph by numbers.
+
+    ``packages`` (name, depends). Dependencies that nothing provides are negative numbers.
+    """
+    ids = numbered(packages.select(F.col("name").alias("node")))
+    asked = packages.select("name", F.explode(F.array_distinct("depends")).alias("dep"))
+    picks = materialise(package_picks(asked, providers).select("name", "dep", "pick"), "picks")
+    lost = materialise(picks.where("pick is null").select("dep").distinct().select("dep", (-1 - F.monotonically_increasing_id()).alias("lost")), "lost")
+    named = salted_lookup(picks, ids.select(F.col("node").alias("pick"), F.col("id").alias("dst")), "pick")
+    ends = named.join(lost, "dep", "left").join(ids.select(F.col("node").alias("name"), F.col("id").alias("src")), "name")
+    edges = ends.groupBy("src", F.coalesce("dst", "lost").alias("dst")).agg(F.count("*").alias("times"))
+    return FileGraph(ids.withColumnRenamed("node", "path"), materialise(edges, "package-edges"), lost.select(F.col("lost").alias("id"), F.col("dep").alias("soname")))
+
+
+def closure_conflicts(graph: FileGraph, declared: DataFrame) -> DataFrame:
+    """(root, name, target): conflicts that bite, as both who declares one and its target are in the closure of ``root``.
+
+    ``declared`` (name, target). A root belongs to its own closure.
+    """
+    numbers = declared.distinct().join(graph.files.select(F.col("path").alias("name"), F.col("id").alias("a")), "name")
+    numbers = numbers.join(graph.files.select(F.col("path").alias("target"), F.col("id").alias("b")), "target")
+    own = graph.files.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    members = materialise(file_reach(graph).where("dst >= 0").select("src", "dst").unionByName(own), "members")
+    with_target = salted_lookup(members, numbers.withColumnRenamed("a", "dst"), "dst").where("b is not null")
+    both = with_target.join(members.select("src", F.col("dst").alias("b")), ["src", "b"], "left_semi")
+    return both.join(graph.files.select(F.col("id").alias("src"), F.col("path").alias("root")), "src").select("root", "name", "target")
+
+
 def file_owners(files: DataFrame, last: bool = False) -> DataFrame:
     """(path, owner, n_owners): of the packages that hold a path the first (or last) in byte order; more than one is a collision."""
     owner = F.max("package") if last else F.min("package")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.session import materialise
+
 
 def with_total(rows: DataFrame, category: str, keys: list[str], *aggregates: Column, total: str = "all") -> DataFrame:
     """Aggregates per (category, *keys) and per keys over all categories, in one pass of grouping sets.
@@ -31,7 +33,8 @@ def shares(counted: DataFrame, n: str = "n") -> DataFrame:
 
 def top_and_rest(counted: DataFrame, key: str, n: str, most: int, rest: str = "(other)") -> DataFrame:
     """The ``most`` keys with the largest ``n``, ties by key, and one row with what remains."""
-    top = counted.orderBy(F.desc(n), key).limit(most).select(key, n)
+    counted = materialise(counted.select(key, n), "counted")
+    top = counted.orderBy(F.desc(n), key).limit(most)
     whole = counted.agg(F.sum(n).alias("_whole"))
     kept = top.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_kept"))
     remainder = whole.join(F.broadcast(kept)).select(F.lit(rest).alias(key), (F.col("_whole") - F.col("_kept")).alias(n))

@@ -21,8 +21,9 @@ def range_lookup(points: DataFrame, ranges: DataFrame, by: list[str], point: str
     tagged = kept.withColumn("_level", level.otherwise(8))
     size = F.lit(width) * F.pow(F.lit(float(wide)), F.col("_level"))
     cells = tagged.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(hi) - 1) / size))))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct(k.alias("_level"), F.floor(F.col(point) / (F.lit(width) * F.pow(F.lit(float(wide)), k))).alias("_cell")))
-    asked = points.where(F.col(point).isNotNull()).select("*", F.inline(levels))
+    present = tagged.agg(F.collect_set("_level").alias("_levels"))  # one row with at most nine numbers
+    levels = F.transform("_levels", lambda k: F.struct(k.alias("_level"), F.floor(F.col(point) / (F.lit(width) * F.pow(F.lit(float(wide)), k))).alias("_cell")))
+    asked = points.where(F.col(point).isNotNull()).join(F.broadcast(present)).select(*points.columns, F.inline(levels))
     hit = (F.col(lo) <= F.col(point)) & (F.col(point) < F.col(hi))
     return asked.join(cells, [*by, "_level", "_cell"]).where(hit).drop("_level", "_cell")
 
@@ -59,6 +60,6 @@ def positional_changes(old: Column, new: Column) -> Column:
     return F.filter(numbered, lambda x: ~x["was"].eqNullSafe(x["now"]))
 
 
-def load_base(mappings: DataFrame, by: list[str], path: str, start: str) -> DataFrame:
-    """``mappings`` with ``base``, the lowest start of all mappings of the same file."""
-    return mappings.withColumn("base", F.min(start).over(Window.partitionBy(*by, path)))
+def load_base(mappings: DataFrame, by: list[str], path: str, start: str, run: str | None = None) -> DataFrame:
+    """``mappings`` with ``base``, the lowest start of all mappings of the same file, or only of those of the same ``run`` of neighbours."""
+    return mappings.withColumn("base", F.min(start).over(Window.partitionBy(*by, path, *([run] if run else []))))

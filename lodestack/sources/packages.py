@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import conflict_names, dependency_names
+from lodestack.functions.scalars import conflict_names, dependency_names, package_name
 
 
 def metadata(files: DataFrame) -> DataFrame:
@@ -49,14 +49,14 @@ def tag_providers(packages: DataFrame) -> DataFrame:
     return packages.select(F.explode(tags).alias("tag"), F.col("name").alias("provider"), "priority")
 
 
-_MEMBERS = pa.schema([("package", pa.string()), ("path", pa.string()), ("link", pa.string()), ("content", pa.binary())])
+_MEMBERS = pa.schema([("package", pa.string()), ("path", pa.string()), ("link", pa.string()), ("content", pa.binary()), ("issue", pa.string())])
 
 
 def archive_members(archives: DataFrame, magic: bytes = b"\x7fELF") -> DataFrame:
-    """(package, path, link, content) of the members of (package, content) archives that begin with ``magic``, and of all symbolic links.
+    """(package, path, link, content, issue) of the members of (package, content) archives that begin with ``magic``, and of all symbolic links.
 
     Compressed or not; the archive streams through the task, and other members are read no further
-    than their first bytes. A damaged archive gives what precedes the damage.
+    than their first bytes. A damaged archive gives what precedes the damage and a row with the ``issue``.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,15 +68,15 @@ def archive_members(archives: DataFrame, magic: bytes = b"\x7fELF") -> DataFrame
                     with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r|*", ignore_zeros=True) as archive:
                         for member in archive:
                             if member.issym():
-                                yield _member(package, member.name, member.linkname, None)
+                                yield _member(package, member.name, member.linkname, None, None)
                             elif member.isfile():
                                 body = archive.extractfile(member)
                                 if (head := body.read(len(magic))) == magic:
-                                    yield _member(package, member.name, None, head + body.read())
-                except (tarfile.TarError, EOFError, OSError):
-                    continue
+                                    yield _member(package, member.name, None, head + body.read(), None)
+                except (tarfile.TarError, EOFError, OSError) as damage:
+                    yield _member(package, None, None, None, str(damage) or type(damage).__name__)
 
-    return archives.select("package", "content").mapInArrow(scan, "package string, path string, link string, content binary")
+    return archives.select("package", "content").mapInArrow(scan, "package string, path string, link string, content binary, issue string")
 
 
 def _member(*values) -> pa.RecordBatch:
@@ -96,12 +96,25 @@ def audit_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_outcomes(events: DataFrame) -> DataFrame:
-    """(file, relocations, ok): a run is good with the fence ``consistent`` and a relocation after it."""
+    """(file, relocations, ok): a run is good with the fence ``consistent`` and any relocation."""
     fence = F.min(F.when(F.col("event") == "consistent", F.col("seq")))
     runs = events.groupBy("file").agg(F.count_if(F.col("event") == "reloc").alias("relocations"), fence.alias("fence"))
     return runs.select("file", "relocations", (F.col("fence").isNotNull() & (F.col("relocations") > 0)).alias("ok"))
 
 
-def repaired_json(text):
-    """Two defects of dumped JSON mended: a comma before a closing bracket, and one missing between two objects."""
-    return F.regexp_replace(F.regexp_replace(text, r",(\s*[\]}])", "$1"), r"\}(\s*)\{", "},$1{")
+def package_directories(files: DataFrame, repos: list[str]) -> DataFrame:
+    """(repo, package, files) of the packages of each of ``repos`` that the paths name, ordered; a repo without any is a row with a null package.
+
+    ``files`` (path) are paths that begin with repo and package.
+    """
+    parts = F.split("path", "/")
+    found = files.where(F.size(parts) > 2).groupBy(F.get(parts, 0).alias("repo"), F.get(parts, 1).alias("package")).agg(F.count("*").alias("files"))
+    wanted = files.sparkSession.createDataFrame([(r,) for r in repos], "repo string")
+    return F.broadcast(wanted).join(found, "repo", "left").select("repo", "package", F.coalesce("files", F.lit(0)).alias("files")).orderBy("repo", "package")
+
+
+def of_packages(files: DataFrame, repo: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """Rows of ``files`` (path, ...) of a repository and of packages by their name without version and release."""
+    parts = F.split("path", "/")
+    kept = files if repo is None else files.where(F.get(parts, 0) == repo)
+    return kept if names is None else kept.where(package_name(F.get(parts, 1)).isin(names))

@@ -23,14 +23,22 @@ def first_seen(reports: DataFrame, keys: list[str], time: str, late: str = "7 da
 
 
 def run_states(events: DataFrame) -> DataFrame:
-    """(file, fenced, relocations, ok) of a stream of audit events, one row per file and trigger that changes it."""
+    """(file, fenced, relocations, ok) of a stream of audit events, one row per file and trigger that changes it.
+
+    A file's state is dropped with its event ``end``; a file that never ends keeps two numbers.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fenced, relocations = state.get if state.exists else (False, 0)
+        ended = False
         for part in parts:
             fenced = bool(fenced or (part["event"] == "consistent").any())
             relocations += int((part["event"] == "reloc").sum())
-        state.update((fenced, relocations))
+            ended = bool(ended or (part["event"] == "end").any())
+        if not ended:
+            state.update((fenced, relocations))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"file": [key[0]], "fenced": [fenced], "relocations": [relocations], "ok": [fenced and relocations > 0]})
 
     return events.groupBy("file").applyInPandasWithState(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import scalars as S
 from lodestack.operators import graph, incremental, lint, metrics, ranges, rules, sampling
 from lodestack.plans import corpus, report
-from lodestack.sources import elf_binary, packages
+from lodestack.sources import dumps, elf_binary, packages
 from lodestack.streaming import arrivals
 
 
@@ -43,8 +43,12 @@ def test_scalars(spark):
         (S.relocation_family(L("R_X86_64_IRELATIVE")), "ifunc"), (S.relocation_family(L("R_X86_64_RELATIVE")), "relative"), (S.relocation_family(L("R_X86_64_COPY")), "copy"),
         (S.relocation_family(L("R_X86_64_JUMP_SLOT")), "plt"), (S.relocation_family(L("R_X86_64_tpoff64")), "tls"), (S.parse_integer(L("0x11")), 17), (S.parse_integer(L("7")), 7), (S.parse_integer(L("q")), -1),
         (S.failure(L("x: undefined symbol: y")), "undefined symbol"), (S.joined_flags(L(0x8000001), S.DYNAMIC_FLAGS, "", ""), "DF_1_NOW|DF_1_PIE"), (S.joined_flags(L(65), S.SEARCH_FLAGS, "LA_SER_NONE", "LA_SER_OTHER"), "LA_SER_ORIG|LA_SER_DEFAULT"), (S.failure(L("y" * 200)), "y" * 160), (S.dependency_names(L("so:x=1.2 !bad pkg>=1 ")), ["so:x", "pkg"]), (S.conflict_names(L("a !bad<2")), ["bad"]),
-        (S.package_name(L("zlib-dev-1.2-r3")), "zlib-dev"), (S.enum_name(L("SharedObject (0x3)")), "SharedObject"), (S.enum_name(L('{"Name": "X", "Value": 3}')), "X"), (S.resolved_path(L("a/./b/../c")), "a/c"),
-        (S.resolved_path(L("../c")), None), (S.resolved_path(L("/c")), None),
+        (S.package_name(L("zlib-dev-1.2-r3")), "zlib-dev"), (S.enum_name(L("SharedObject (0x3)")), "SharedObject"), (S.enum_name(L('{"Name": "X", "Value": 3}')), "X"), (S.archive_path(L("a/.//b")), "a/b"),
+        (S.archive_path(L("a/../c")), None), (S.archive_path(L("/c")), None), (S.archive_path(L("./")), None), (S.link_target(L("usr/lib/x"), L("../../bin/./y")), "bin/y"), (S.link_target(L("usr/x"), L("/lib/y")), "lib/y"),
+        (S.link_target(L("x"), L("../y")), None), (S.link_target(L("x"), L("")), None), (S.relative_path(L("usr/lib"), L("bin/y")), "../../bin/y"), (S.relative_path(L("usr/lib"), L("usr/lib/a/b")), "a/b"),
+        (S.relative_path(L("usr/lib"), L("usr/lib")), "."), (S.relative_path(L(""), L("a")), "a"), (S.named(L(36), S.RELOCATIONS, "UNKNOWN"), "TLSDESC"), (S.named(L(9), S.LOADER_STATES, "RT_UNKNOWN"), "RT_UNKNOWN"),
+        (S.count_of(L("7")), 7), (S.count_of(L('{"n": 3}')), 3), (S.count_of(L(None).cast("string")), 0), (S.relocation_family(L("R_X86_64_TLSGD")), "tls"), (S.feature_list(L("x86 feature: IBT, SHSTK"))[1], ["IBT", "SHSTK"]),
+        (S.feature_list(L("no colon"))[1], []),
     ]
     got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert list(got) == [want for _, want in cases]
@@ -236,15 +240,17 @@ def image(etype=3, machine=62, interp=b"/lib/ld.so\0", soname=True, filesz=0x400
 def test_elf_structure(spark, tmp_path):
     cases = {
         "program": image(), "arm": image(machine=183), "object": image(etype=1), "exec": image(etype=2), "large": image(filesz=0x500), "small_entries": image(phentsize=32),
+        "far_interp": image()[:64] + image()[64:120] + struct.pack("<IIQQQQQQ", 3, 0xF0000004, 1 << 40, 0, 0, 9, 9, 1) + image()[176:], "none_type": image(etype=0, filesz=0x400)[:56] + struct.pack("<H", 0) + image()[58:],
         "high": image(high=True), "short": b"\x7fELF\x02\x01\x01", "class32": b"\x7fELF\x01" + bytes(80), "text": b"hello",
     }
     (tmp_path / "sub").mkdir()
     for name, content in cases.items():
         (tmp_path / "sub" / name).write_bytes(content)
     rows = {r.path.rsplit("/", 1)[1]: r for r in elf_binary.structure(elf_binary.read_images(spark, str(tmp_path))).collect()}
-    assert "text" not in rows and len(rows) == 9
+    assert "text" not in rows and len(rows) == 11
     kinds = {k: r.kind for k, r in rows.items()}
-    assert kinds == {"program": "dynamic_program", "arm": "wrong_machine", "object": "relocatable", "exec": "dynamic_program", "large": "malformed_image", "small_entries": "malformed_image", "high": "dynamic_program", "short": "wrong_format", "class32": "wrong_format"}
+    assert kinds == {"program": "dynamic_program", "arm": "wrong_machine", "object": "relocatable", "exec": "dynamic_program", "large": "malformed_image", "small_entries": "malformed_image", "high": "dynamic_program", "short": "wrong_format", "class32": "wrong_format", "far_interp": "dso", "none_type": "other"}
+    assert rows["far_interp"].program_headers[1].flags == 0xF0000004 and rows["far_interp"].issues and rows["program"].padding == [0] * 7 and rows["program"].abi_version == 0
     p = rows["program"]
     assert p.interpreter == "/lib/ld.so" and p.dynamic.needed == ["libc.so"] and p.dynamic.soname == "libme.so" and p.dynamic.runpath == ["/usr/lib"]
     assert p.role_evidence.entry_in_executable_load and p.program_headers[0].p_type_name == "PT_LOAD" and p.program_headers[0].flags_names == ["PF_R", "PF_X"]
@@ -257,12 +263,12 @@ def test_rules(spark):
     seg = "array<struct<index:int,p_type:bigint,p_type_name:string,flags:int,offset:bigint,vaddr:bigint,filesz:bigint,memsz:bigint,align:bigint>>"
     head = "struct<elf_type:int,machine:int,machine_name:string,version:int,phoff:bigint,shoff:bigint,ehsize:int,phentsize:int,phnum:int,shentsize:int,shnum:int>"
     rows = [
-        (1, (3, 62, "EM_X86_64", 1, 64, 0, 64, 56, 3, 64, 0), (1,), [(0, 1, "PT_LOAD", 7, 0, 4096, 10, 5, 4096), (1, 3, "PT_INTERP", 4, 0, 0, 1, 1, 3), (2, 1, " pt_load", 4, 1, 0, 1, 1, 4096)]),
-        (2, (3, 62, "EM_X86_64", 1, 64, 0, 64, 56, 1, 64, 0), (1,), [(0, 1, "PT_LOAD", 5, 0, 0, 1, 1, 4096)]), (3, None, (1,), []), (4, None, None, None),
+        (1, (3, 62, "EM_X86_64", 1, 64, 0, 64, 56, 3, 64, 0), (1, 2), [(0, 1, "PT_LOAD", 7, 0, 4096, 10, 5, 4096), (1, 3, "PT_INTERP", 4, 0, 0, 1, 1, 3), (2, 1, " pt_load", 4, 1, 0, 1, 1, 4096)]),
+        (2, (3, 62, "EM_X86_64", 1, 64, 0, 64, 56, 1, 64, 0), (1, 2), [(0, 1, "PT_LOAD", 5, 0, 0, 1, 1, 4096)]), (3, None, (1, 1), []), (4, None, None, None),
     ]
-    df = spark.createDataFrame(rows, f"id int, header {head}, format struct<ident_version:int>, program_headers {seg}")
+    df = spark.createDataFrame(rows, f"id int, header {head}, format struct<ident_version:int,class:int>, program_headers {seg}")
     found = {(r.id, r.anomaly): r.hits for r in rules.anomalies(df, rules.header_rules() + rules.segment_rules(), ["id"]).collect()}
-    assert found == {(1, "ph_load_wx"): 1, (1, "ph_load_filesz_gt_memsz"): 1, (1, "ph_align_not_pow2"): 1, (1, "ph_offset_vaddr_misaligned"): 1}
+    assert found == {(1, "ph_load_wx"): 1, (1, "ph_load_filesz_gt_memsz"): 1, (1, "ph_align_not_pow2"): 1, (1, "ph_offset_vaddr_misaligned"): 1, (1, "ph_load_not_sorted"): 1, (1, "ph_interp_after_load"): 1}
     order = {r.id: (r.load_not_sorted, r.interp_after_load) for r in rules.segment_order(df, "id").collect()}
     assert order == {1: (True, True), 2: (False, False)}
     tags = spark.createDataFrame([(1, ["RELA", "RELASZ"]), (2, [])], "id int, tags array<string>")
@@ -270,20 +276,45 @@ def test_rules(spark):
     assert [tuple(r) for r in rules.missing_tags(tags, "id", "tags", needs).collect()] == [(1, "RELA", "RELAENT")]
 
 
+def test_each_header_rule_fires_and_spares(spark):
+    seg = "array<struct<index:int,p_type:bigint,p_type_name:string,flags:int,offset:bigint,vaddr:bigint,filesz:bigint,memsz:bigint,align:bigint>>"
+    head = "struct<elf_type:int,machine_name:string,version:int,phoff:bigint,shoff:bigint,ehsize:int,phentsize:int,phnum:int,shentsize:int,shnum:int>"
+    good = (3, "EM_X86_64", 1, 64, 9, 64, 56, 1, 64, 1)
+    changed = lambda at, value: (*good[:at], value, *good[at + 1 :])
+    cases = {
+        "ehdr_ehsize_nonstandard": changed(5, 52), "ehdr_phentsize_nonstandard": changed(6, 32), "ehdr_shentsize_nonstandard": changed(8, 40), "ehdr_object_version": changed(2, 0), "ehdr_unknown_etype": changed(0, 77),
+        "ehdr_phoff_zero_phnum_nonzero": (1, *changed(3, 0)[1:]), "ehdr_phoff_nonzero_phnum_zero": changed(7, 0), "ehdr_shoff_zero_shnum_nonzero": changed(4, 0), "ehdr_unknown_machine": changed(1, "Unknown (0x9026)"), "arch_mismatch": changed(1, "EM_RISCV"),
+    }
+    rows = [(name, h, (1, 2)) for name, h in cases.items()] + [("good", good, (1, 2)), ("os", changed(0, 0xFE01), (1, 2)), ("32", (*good[:5], 52, 32, 1, 40, 1), (1, 1)), ("ehdr_ident_version", good, (2, 2)), ("null", None, (1, 2))]
+    df = spark.createDataFrame(rows, f"id string, header {head}, format struct<ident_version:int,class:int>").withColumn("program_headers", F.lit(None).cast(seg))
+    found = {}
+    for r in rules.anomalies(df, rules.header_rules(), ["id"]).collect():
+        found.setdefault(r.id, set()).add(r.anomaly)
+    assert found == {name: {name} for name in [*cases, "ehdr_ident_version"]}
+    names = ["PT_LOAD", "PT_LOOS+1", "PT_ARM_EXIDX", "PT_LOX", "Unknown (0x5)", "0x60000001", None, " PT_NOTE ", "PT_VEND"]
+    segments = spark.createDataFrame([(1, [(i, 4, n, 4, 0, 0, 0, 0, 0) for i, n in enumerate(names)])], f"id int, program_headers {seg}").withColumn("header", F.lit(None).cast(head))
+    assert [tuple(r) for r in rules.anomalies(segments, rules.segment_rules(), ["id"]).collect()] == [(1, "ph_unknown_type", 3)]
+    ident = spark.createDataFrame([(1, 0, [0, 0]), (2, 1, [0, 3]), (3, None, None)], "id int, abi_version int, padding array<int>").withColumn("program_headers", F.lit(None).cast(seg))
+    assert {tuple(r) for r in rules.anomalies(ident, rules.ident_rules(), ["id"]).collect()} == {(2, "ehdr_nonzero_abiversion", 1), (2, "ehdr_padding_nonzero", 1)}
+    assert {r.outlier for r in rules.outliers(rules.anomalies(df, rules.header_rules(), ["id"])).collect()} == {"arch_mismatch", "unknown_machine"}
+
+
 def test_dynamic_rules(spark):
     full = [("NEEDED", "1"), ("NEEDED", "2"), ("STRTAB", "0"), ("SYMTAB", "0"), ("STRSZ", "0"), ("SYMENT", "0"), ("GNU_HASH", "0"), ("NULL", "0"), ("NULL", "0")]
     rows = [
         (1, 3, True, full), (2, 3, True, full + [("TEXTREL", "0"), ("Unknown", "0")]), (3, 2, False, [("STRTAB", "0"), ("STRTAB", "0"), ("PLTREL", "0x11"), ("RPATH", "a"), ("RUNPATH", "b")]),
         (4, 3, True, []), (5, 1, False, []), (6, 3, True, None), (7, 3, True, full[:-2] + [("PLTREL", "9")]),
     ]
-    df = spark.createDataFrame(rows, "id int, elf_type int, interpreted boolean, dynamic array<struct<tag:string,value:string>>")
+    df = spark.createDataFrame(rows, "id int, elf_type int, interpreted boolean, dynamic array<struct<tag:string,value:string>>").withColumn("has_dynamic", F.size("dynamic") > 0)
     found = {}
     for r in rules.anomalies(df, rules.dynamic_rules(), ["id"]).collect():
         found.setdefault(r.id, set()).add(r.anomaly.removeprefix("dyn_"))
     assert found == {
-        2: {"textrel", "unknown_tag", "entries_after_null"}, 3: {"duplicate_tag", "missing_mandatory", "rpath_and_runpath", "no_hash", "static_exec_with_dynamic"},
-        4: {"empty"}, 7: {"pltrel_bad_value"},
+        2: {"textrel", "unknown_tag", "entries_after_null"}, 3: {"duplicate_tag", "missing_mandatory", "missing_dependency", "rpath_and_runpath", "no_hash", "static_exec_with_dynamic"},
+        4: {"empty"}, 6: {"empty"}, 7: {"pltrel_bad_value", "missing_dependency"},
     }
+    hits = {(r.id, r.anomaly): r.hits for r in rules.anomalies(df, rules.dynamic_rules(), ["id"]).collect()}
+    assert hits[3, "dyn_missing_mandatory"] == 3 and hits[3, "dyn_missing_dependency"] == 2 and hits[2, "dyn_textrel"] == 1
     tags = df.select("id", F.transform("dynamic", lambda e: e["tag"]).alias("tags"))
     missing = rules.missing_tags(tags, "id", "tags", spark.createDataFrame(S.TAG_NEEDS, "tag string, needs string"))
     assert {tuple(r) for r in missing.where("id = 3").collect()} == {(3, "STRTAB", "STRSZ"), (3, "PLTREL", "JMPREL")}
@@ -307,12 +338,37 @@ def test_package_sources(spark, tmp_path):
         link.type, link.linkname = tarfile.SYMTYPE, "x"
         tar.addfile(link)
     archives = spark.createDataFrame([("p", gzip.compress(raw.getvalue())), ("bad", b"junk"), ("none", None)], "package string, content binary")
-    assert {(r.path, r.link) for r in packages.archive_members(archives).collect()} == {("bin/x", None), ("bin/y", "x")}
+    members = packages.archive_members(archives).collect()
+    assert {(r.path, r.link) for r in members if not r.issue} == {("bin/x", None), ("bin/y", "x")} and [r.package for r in members if r.issue] == ["bad"]
     lines = [{"file": "f", "seq": i, "event": e} for i, e in enumerate(["objopen", "consistent", "reloc"])] + [{"file": "g", "seq": 0, "event": "reloc"}]
     (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, lines)) + '\n{"file": "h", "ev')
     events = packages.audit_events(spark, str(tmp_path / "log.jsonl"))
     assert {tuple(r) for r in packages.audit_outcomes(events).collect()} == {("f", 1, True), ("g", 1, False)}
-    assert json.loads(one(spark, packages.repaired_json(F.lit('[{"a": 1,} {"b": [2,]}]')))) == [{"a": 1}, {"b": [2]}]
+    files = spark.createDataFrame([("main/zlib-1.2-r3/a",), ("main/zlib-1.2-r3/b",), ("extra/x-1-r0/a",), ("main/short",), (None,)], "path string")
+    assert [tuple(r) for r in packages.package_directories(files, ["main", "none"]).collect()] == [("main", "zlib-1.2-r3", 2), ("none", None, 0)]
+    assert packages.of_packages(files, "main", ["zlib"]).count() == 2 == packages.of_packages(files, names=["zlib"]).count()
+
+
+def test_dumps(spark):
+    sound = '{"ElfHeader": {"Type": {"Name": "SharedObject (0x3)"}}, "DynamicSection": [{"Type": "SONAME", "Name": "a"}]}'
+    defects = '[{"ElfHeader": {"Type": {"Name": "Executable"}Machine: 0x9026\n}, "VersionDefinitions": [{"Definition": {"Name": "A_2"Predecessors: [A_1, A_0]\n}}, {"Definition": {"Name": "A_0"Predecessors: []\n}}]}]'
+    texts = [("ok", f"[{sound}]"), ("broken", defects), ("text", "Machine: none\n } {"), ("inside", '[{"DynamicSection": [{"Type": "RUNPATH", "Path": ["} {", ",]"]}]}]'), ("empty", ""), ("null", None)]
+    docs = {r.path: r.doc for r in dumps.documents(spark.createDataFrame(texts, "path string, text string")).collect()}
+    assert set(docs) == {"ok", "broken", "text", "inside", "empty"} and docs["empty"] is None
+    assert docs["broken"].ElfHeader.Machine.Value == 0x9026 and [v.Definition.Predecessors for v in docs["broken"].VersionDefinitions] == [["A_1", "A_0"], []]
+    assert docs["inside"].DynamicSection[0].Path == ["} {", ",]"]
+    styles = dumps.documents(spark.createDataFrame(texts, "path string, text string")).select("path", dumps.hash_style().alias("style")).collect()
+    assert {r.path: r.style for r in styles}["ok"] == "neither"
+
+
+def test_package_graph(spark):
+    rows = [("a", ["so:x", "so:none"], ["so:y"], 0), ("b", ["so:y"], [], 1), ("c", [], ["b"], 0), ("d", ["c", "a"], [], 0)]
+    own = spark.createDataFrame(rows, "name string, depends array<string>, conflicts array<string>, priority int")
+    providers = spark.createDataFrame([("so:x", "b", 1), ("so:x", "c", 0), ("so:y", "c", 0), ("a", "a", 0), ("b", "b", 0), ("c", "c", 0)], "tag string, provider string, priority int")
+    found = graph.package_graph(own.select("name", "depends"), providers)
+    assert {r.path: (r.nodes, r.external) for r in graph.file_closures(found).collect()} == {"a": (2, 1), "b": (1, 0), "d": (3, 1)}
+    declared = spark.createDataFrame([("a", "c"), ("c", "b"), ("b", "d")], "name string, target string")
+    assert {tuple(r) for r in graph.closure_conflicts(found, declared).collect()} == {("a", "a", "c"), ("a", "c", "b"), ("b", "c", "b"), ("d", "a", "c"), ("d", "c", "b"), ("d", "b", "d")}
 
 
 def test_reports(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import cooccurrence, leakage, mixing, reading, stable_sample, term_counts
+from lodestack.llm.text import TAG_PATTERN
 from lodestack.session import table
 
 
@@ -110,7 +111,17 @@ _PAIRS = f"""
     pairs as (select a.k as item_a, b.k as item_b, count(*) as n_ab from own a join own b on a.p = b.p and a.sha = b.sha and a.k < b.k group by all),
     full_ as (select item_a, item_b, n_ab, x.n as n_a, y.n as n_b, n.n as n from pairs join one x on x.k = item_a join one y on y.k = item_b, n)
 """
+# The entities that the posts hold; tags as in ``text``, without a look ahead.
+_BARE = "regexp_replace(regexp_replace(text, '" + TAG_PATTERN.replace(r"(?=\n|$)", r"(?:\n|\z)").replace("'", "''") + "', ' ', 'gis'), '&(nbsp|#39|gt|lt|quot|amp);', ' ', 'g')"
+_LEAKS = f"""
+    with runs as (select 'doc' as what, doc_id as id, regexp_extract_all(lower({_BARE}), '[\\p{{L}}\\p{{N}}]+') as w from documents where text is not null
+        union all select 'item', item_id, regexp_extract_all(lower({_BARE}), '[\\p{{L}}\\p{{N}}]+') from eval_items where text is not null),
+    windows as (select distinct what, id, array_to_string(w[i:i + 11], ' ') as g from runs, unnest(range(1, len(w) - 10)) as u(i) where len(w) >= 12),
+    leaks as (select distinct a.id as doc_id, b.id as item_id from windows a join windows b on a.g = b.g where a.what = 'doc' and b.what = 'item')
+"""
 SQL = {
+    "p8_found": _LEAKS + "select doc_id, item_id from leaks",
+    "p8_items": _LEAKS + "select item_id, suite, coalesce(n, 0)::bigint as documents from eval_items left join (select item_id, count(*) as n from leaks group by 1) using (item_id)",
     "p1_found": _TERMS + "select field, term, mark from marked where mark is not null",
     "p1_terms": _TERMS + "select field, term, occurrences, records, mark from marked",
     "p5_sample": f"""

@@ -9,7 +9,8 @@ import re
 _HTML = r"</?(?:a|b|i|u|s|p|br|hr|em|tt|ul|ol|li|h[1-6]|div|img|pre|del|ins|sub|sup|span|code|cite|font|strong|small|strike|center|table|tr|td|th|blockquote)\b(?:[^<>\n]*>|[ \t]*/?(?=\n|$))"
 _ANY_HTML = r"</?[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))*\s*/?>|<!--.*?-->"
 _BBCODE = r"\[/?(?:b|i|u|s|\*|li|url|img|list|code|quote|size|font|color|center|spoiler|email|sub|sup|hr|table|tr|td)(?:=[^\]\n]*)?\]"
-_TAG = re.compile(f"(?:{_HTML})|(?:{_ANY_HTML})|(?:{_BBCODE})", re.IGNORECASE | re.DOTALL)
+TAG_PATTERN = f"(?:{_HTML})|(?:{_ANY_HTML})|(?:{_BBCODE})"
+_TAG = re.compile(TAG_PATTERN, re.IGNORECASE | re.DOTALL)
 _WORD = re.compile(r"[^\W_]+")
 
 

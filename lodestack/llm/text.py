@@ -42,8 +42,11 @@ def lower_words(text: str) -> list[str]:
 
 
 _EDGE = re.compile(r"\[(/?)quote(?:=[^\]\n]*)?\]|<(/?)blockquote\b[^<>\n]*>", re.IGNORECASE)
-_PASTED = re.compile(r"\[code\b[^\]\n]*\].*?(?:\[/code\]|\Z)|<(pre|code)\b[^<>\n]*>.*?(?:</\1>|\Z)|```.*?(?:```|\Z)", re.IGNORECASE | re.DOTALL)
+_UNCLOSED = r".*?(?=\n[ \t]*\n|\Z)"
+_PASTED = re.compile(rf"\[code\b[^\]\n]*\](?:.*?\[/code\]|{_UNCLOSED})|<(pre|code)\b[^<>\n]*>(?:.*?</\1>|{_UNCLOSED})|```(?:.*?```|{_UNCLOSED})", re.IGNORECASE | re.DOTALL)
 _SIGNED = re.compile(r"\[size=1\].*?(?:\[/size\]|\Z)|<hr\b[^<>\n]*>.*\Z|^(?:-- ?|_{5,}|-{5,})[ \t]*$.*\Z", re.IGNORECASE | re.DOTALL | re.MULTILINE)
+#: Words that a signature has at most; what follows a line of dashes and is longer was written by the author.
+LONGEST_SIGNATURE = 40
 _QUOTE_LINE = re.compile(r"^[ \t]*(?:>|\||&gt;)")
 _WROTE = re.compile(r"^\S+ wrote:\s*$")
 _LOG_LINE = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]|\[?\d\d:\d\d:\d\d|step \d+ |\w+\[\d+\]:|.*\b\w+=0x[0-9a-f]+|\s+at \w[\w.$]*\(|Traceback |[A-Z]+: )")
@@ -72,11 +75,20 @@ def _unquoted(text: str) -> str:
     return "".join(out)
 
 
+def _signature(m: re.Match) -> str:
+    """Nothing for a signature; what follows the mark where that is too long for one."""
+    mark = re.match(r"<[^<>]*>|[^\n]*", m[0])[0]
+    rest = m[0][len(mark) :]
+    if mark.lower().startswith("[size") or len(_WORD.findall(rest)) <= LONGEST_SIGNATURE:
+        return "\n\n"
+    return "\n\n" + _SIGNED.sub(_signature, rest)
+
+
 def own_text(text: str, author: str | None) -> str:
     """What the author wrote: no quotations, pasted logs, signature or markup. Paragraphs stay apart, wrapped lines are joined."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _PASTED.sub("\n\n", _unquoted(text))
-    lines = _SIGNED.sub("\n\n", text).split("\n")
+    lines = _SIGNED.sub(_signature, text).split("\n")
     kept = []
     for line in lines:
         bare = html.unescape(line)

@@ -260,6 +260,7 @@ def test_token_counts_follow_the_tokenizer(spark):
     ("bob wrote:\n> old\n>> older\nmine", "mine"), ("| boxed\n| text\n\nmine", "mine"), ("mine\n-- \nann\nslogan", "mine"), ("mine\n__________\nslogan", "mine"),
     ("mine\n[size=1]a | b[/size]", "mine"), ("mine\n<hr>~ ann ~", "mine"), ("mine\nslogan here | ann", "mine"), ("mine [code]\nstep 0 rc=2 buf=0x1\n[/code]", "mine"),
     ("<p>mine</p>", "mine"), ("[quote=a]never closed\n\nmine", "mine"), ("", ""), ("[quote]only[/quote]", ""), ("mine\r\n<pre>log</pre>", "mine"),
+    ("mine\n-----\n" + "more " * 50 + "\n-- \nann", "mine" + " more" * 50), ("mine [code]\nlog 1\n\nmore", "mine more"), ("mine <pre>a\n\nb</pre> more", "mine more"),
 ])
 def test_own_text(text, want):
     assert own_text(text, "ann").split() == want.split()

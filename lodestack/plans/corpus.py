@@ -396,6 +396,15 @@ def verset_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return graph.version_mismatches(asked.where("verset is not null"), declared)
 
 
+@query("""with asked as (select u.r.key as s, unnest(u.r.value) as v from graph_record, unnest(map_entries(verneed)) as u(r)),
+    cut as (select distinct nullif(regexp_extract(trim(s, E' \\t\\r\\n'), '[^/]*$'), '') as soname, v[1:instr(v, '_') - 1] as verset, v[instr(v, '_') + 1:] as version from asked where instr(v, '_') > 0)
+    select soname, verset, arg_max(version, list_transform(string_split(version, '.'), lambda x: x::bigint)) as version from cut where regexp_matches(version, '^[0-9]+(\\.[0-9]+)*$') group by all""")
+def greatest_versets(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest version that is requested of each library and version set."""
+    rows = table(spark, d, "graph_record").select(F.explode("verneed").alias("soname", "versets")).select(library_key(F.col("soname")).alias("soname"), F.explode("versets").alias("v"))
+    return metrics.greatest_version(rows.select("soname", *S.split_version(F.col("v"))), ["soname", "verset"], "version", S.version_numbers(F.col("version")))
+
+
 @query(_USES + f""", v as (select distinct {_STEM.format('soname', 1)} as stem, {_STEM.format('soname', 2)} as version from lib where regexp_matches({_STEM.format('soname', 2)}, '^[0-9]+(\\.[0-9]+)*$'))
     select stem, arg_max(version, list_transform(string_split(version, '.'), lambda x: x::bigint)) as version from v group by 1""")
 def greatest_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -478,6 +487,12 @@ def closure_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _closures(spark, d).groupBy(F.col("nodes").alias("size")).agg(F.count("*").alias("files"))
 
 
+@query(_FILES + """ select case when nodes <= 0 then '0' when nodes <= 1 then '1' when nodes <= 5 then '2-5' when nodes <= 10 then '6-10' when nodes <= 20 then '11-20' when nodes <= 50 then '21-50' when nodes <= 100 then '51-100'
+    when nodes <= 200 then '101-200' else '>200' end as bucket, count(*) as files from sizes group by 1""")
+def closure_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return _closures(spark, d).groupBy(S.bucket(F.col("nodes"), S.CLOSURE_CUTS, ">200").alias("bucket")).agg(F.count("*").alias("files"))
+
+
 @query(_FILES + """, spread as (select *, extra / edges as share from sizes where nodes > 0 and extra > 0),
     ranked as (select 'nodes' as ranking, row_number() over (order by nodes desc, path) as place, path, nodes, edges, extra from sizes where nodes > 0
         union all select 'extra', row_number() over (order by extra desc, share desc, path desc), path, nodes, edges, extra from spread

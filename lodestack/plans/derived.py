@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import scalars as S
 from lodestack.functions.records import clean_path, keys_of, library_key
 from lodestack.operators import graph, metrics, ranges, rules, sampling
+from lodestack.plans import report
 from lodestack.plans.corpus import _KEY, _KEYS, _PATH
 from lodestack.session import materialise, table, write
 from lodestack.sources import dumps, elf_binary, packages
@@ -444,3 +445,29 @@ def first_failures(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 runs that failed, with the number of all."""
     rows = table(spark, d, "elflint_reports").where(F.col("status").isin("failed", "timeout")).select("report_id", F.col("source.relative").alias("relative"))
     return sampling.first_with_total(rows, [F.col("report_id")], 20)
+
+
+# ---- reports ------------------------------------------------------------------------------
+
+
+@query("""with c as (select event_type as key, count(*) as n from events group by 1) select lpad(n::varchar, 12, ' ') || '  ' || coalesce(key, '(none)') || '  ' || repeat('#', round(30 * n / (select max(n) from c))::int) as value from c""")
+def text_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.text_lines(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n")
+
+
+_ESCAPE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"""with c as (select f, count(*) as n from (select unnest(findings) as f from elflint_reports) group by 1) select '<tr><td>' || coalesce({_ESCAPE.format('f')}, '') || '</td><td>' || format('{{:,}}', n) || '</td></tr>' as value from c""")
+def html_report(spark: SparkSession, d: str) -> DataFrame:
+    """Findings as rows of a table."""
+    return report.html_lines(table(spark, d, "elflint_reports").select(F.explode("findings").alias("f")).groupBy("f").agg(F.count("*").alias("n")))
+
+
+@query("select kind, count(*) as n from elf_reports group by 1")
+def report_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A part of a report, written as lines of JSON and read again."""
+    counted = table(spark, d, "elf_reports").groupBy("kind").agg(F.count("*").alias("n"))
+    folder = f"{write(counted.limit(0), 'report')}/parts"
+    report.write_parts({"kinds": counted}, folder)
+    return spark.read.schema(counted.schema).json(f"{folder}/kinds")

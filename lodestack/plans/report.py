@@ -1,4 +1,8 @@
-"""Small results as JSON, text or HTML files. Callers pass aggregates; ``most`` bounds what reaches the driver."""
+"""Results as JSON, text or HTML.
+
+``write_parts``, ``text_lines`` and ``html_lines`` leave formatting and writing to Spark, whatever the size. The
+others make one small file of an aggregate; ``most`` bounds what reaches the driver.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,39 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def text_lines(counted: DataFrame, key: str, n: str, width: int = 30) -> DataFrame:
+    """(value): number, key and a bar in proportion to the largest number; a null key is ``(none)``."""
+    most = counted.agg(F.max(n).alias("_most"))
+    bars = F.expr(f"repeat('#', cast(round({width} * `{n}` / _most) as int))")
+    line = F.concat(F.lpad(F.col(n).cast("string"), 12, " "), F.lit("  "), F.coalesce(F.col(key), F.lit("(none)")), F.lit("  "), bars)
+    return counted.join(F.broadcast(most)).select(line.alias("value"))
+
+
+def escaped(text: Column) -> Column:
+    """Text for HTML: ampersands, angle brackets and quotes as entities."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def html_lines(rows: DataFrame) -> DataFrame:
+    """(value): one table row per row; integers with separators of thousands, nulls empty."""
+    cells = []
+    for field in rows.schema:
+        c = F.col(f"`{field.name}`")
+        shown = F.format_number(c, 0) if field.dataType.typeName() in ("long", "integer", "short", "byte") else escaped(c.cast("string"))
+        cells.append(F.concat(F.lit("<td>"), F.coalesce(shown, F.lit("")), F.lit("</td>")))
+    return rows.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+
+
+def write_parts(parts: dict[str, DataFrame], folder: str) -> None:
+    """Each part as lines of JSON in a folder of its own, replaced as a whole when the job commits."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
 
 
 def rows_of(df: DataFrame, most: int = 10_000) -> list[dict]:

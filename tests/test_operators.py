@@ -376,6 +376,10 @@ def test_reports(spark, tmp_path):
     report.write_site({"one": {"t": df}}, tmp_path)
     assert "&lt;b&gt;" in (tmp_path / "one.html").read_text() and json.loads((tmp_path / "data.json").read_text())["one/t"][1]["n"] == 1
     assert "## t" in report.text_section("t", df, "k", "n")
+    assert {r.value for r in report.text_lines(df, "k", "n").collect()} == {"           3  <b>  " + "#" * 30, "           1  c  " + "#" * 10}
+    assert {r.value for r in report.html_lines(df.selectExpr("k", "n * 1000 as n")).collect()} == {"<tr><td>&lt;b&gt;</td><td>3,000</td></tr>", "<tr><td>c</td><td>1,000</td></tr>"}
+    report.write_parts({"a": df}, f"{tmp_path}/parts")
+    assert spark.read.json(f"{tmp_path}/parts/a").count() == 2 and report.text_lines(df.limit(0), "k", "n").count() == 0
     with pytest.raises(ValueError):
         report.rows_of(df, 1)
 

@@ -68,18 +68,25 @@ def closure(edges: DataFrame) -> DataFrame:
     A node is in its own closure only where a cycle leads back to it. Reach is doubled: whatever
     lies up to 2k steps away lies up to k steps behind a node exactly k steps away, so a graph of
     depth d takes log2(d) joins; only those farthest nodes are looked up. Nodes that a large part of them
-    are, are split by adaptive execution as they are met. Each result is written, which keeps the plan short.
+    are, are split by adaptive execution as they are met. Each result is written, which keeps the plan
+    short; roots without a node k steps away are done and only looked up from then on.
     """
     reach = edges.where("src is not null and dst is not null").select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct()
-    reach, seen = measured(reach.withColumn("depth", F.lit(1)), "reach", n=F.count("*"))
-    steps = 1
-    while seen["n"]:
-        ends = reach.where(F.col("depth") == steps)
-        on = reach.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
+    active = materialise(reach.withColumn("depth", F.lit(1)), "reach")
+    done, steps = None, 1
+    while True:
+        ends = active.where(F.col("depth") == steps)
+        known = active if done is None else done.unionByName(active)
+        on = known.select(F.col("root").alias("node"), F.col("node").alias("far"), F.col("depth").alias("more"))
         longer = ends.join(on, "node").select("root", F.col("far").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
         steps *= 2
-        reach, seen = measured(reach.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth")), "reach", n=F.count_if(F.col("depth") == steps))
-    return reach
+        grown, seen = measured(active.unionByName(longer).groupBy("root", "node").agg(F.min("depth").alias("depth")), "reach", n=F.count_if(F.col("depth") == steps))
+        if not seen["n"]:
+            return grown if done is None else done.unionByName(grown)
+        open_ = materialise(grown.where(F.col("depth") == steps).select("root").distinct(), "open")
+        finished = grown.join(open_, "root", "left_anti")
+        done = finished if done is None else done.unionByName(finished)
+        active = materialise(grown.join(open_, "root", "left_semi"), "active")
 
 
 def trimmed(edges: DataFrame, rounds: int = 3) -> DataFrame:

@@ -164,6 +164,14 @@ def test_compaction(spark):
     assert compaction.compact(report_objects(files.limit(0)), 1000).records.count() == 0
 
 
+def test_a_hot_package_counts_once(programs):
+    rows = [(i, f"r/hot/f{i}", f"{i}", "x.so", ["l.so", "l.so", f"k{i % 7}"], day(0)) for i in range(300)] + [(1000 + i, f"r/p{i}/f", f"{i}", None, ["l.so"], day(0)) for i in range(50)]
+    rows += [(2000 + i, f"r//hot/f{i}", f"{i}", "x.so", [" l.so"], day(1)) for i in range(100)] + [(3000, None, None, "x.so", ["l.so"], day(0)), (3001, "short", "z", None, ["l.so"], day(0))]
+    got = {(r.field, r.key): (r.records, r.packages) for r in skew.key_totals(programs(rows).repartition(6)).collect()}
+    assert got["needed", "l.so"] == (352, 51) and got["soname", "x.so"] == (301, 1) and got["needed", "k0"] == (43, 1)
+    assert sum(n for (f, k), (n, _) in got.items() if k.startswith("k")) == 300
+
+
 def report_rows(spark, n):
     """Reports of one length, a third of them of one package, months and sizes mixed."""
     return spark.range(n).select(

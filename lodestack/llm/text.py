@@ -84,6 +84,10 @@ def _signature(m: re.Match) -> str:
     return "\n\n" + _SIGNED.sub(_signature, rest)
 
 
+#: What may stand around the author's name in a signature, besides other text before it.
+_AROUND = "|~ \t\n\r\f\v\u00a0"
+
+
 def own_text(text: str, author: str | None) -> str:
     """What the author wrote: no quotations, pasted logs, signature or markup. Paragraphs stay apart, wrapped lines are joined."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -100,7 +104,8 @@ def own_text(text: str, author: str | None) -> str:
         kept.pop()
     if kept and author:  # a last line that bears the author's name is a signature
         last = plain(kept[-1]).strip()
-        if len(last) < 80 and re.search(rf"(?:^|[|~\s]){re.escape(author)}[\s~|]*$", last):
+        at = last.rfind(author)
+        if len(last) < 80 and at >= 0 and not last[at + len(author) :].strip(_AROUND) and not last[at - 1 : at].strip(_AROUND):
             kept.pop()
     return plain("\n".join(kept))
 

@@ -15,6 +15,7 @@ from lodestack.plans import report
 from lodestack.plans.corpus import _KEY, _KEYS, _PATH
 from lodestack.session import materialise, table, write
 from lodestack.sources import dumps, elf_binary, packages
+from lodestack.streaming import arrivals
 
 QUERIES, SQL = {}, {}
 
@@ -471,3 +472,36 @@ def report_parts(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{write(counted.limit(0), 'report')}/parts"
     report.write_parts({"kinds": counted}, folder)
     return spark.read.schema(counted.schema).json(f"{folder}/kinds")
+
+
+# ---- streams ------------------------------------------------------------------------------
+
+
+def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream gives until its source is used up, every batch written into a folder of its own."""
+    spark, folder = stream.sparkSession, write(stream.sparkSession.range(0), name)
+    batch = lambda df, number: df.write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+    running = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batches/*")
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    # a pattern, as a stream takes a folder or a pattern but no single file
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+@query(f"select distinct {_PATH.format('source.relative')} as path, lower(source.sha256) as sha from program_reports where arrived_at is not null")
+def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a stream of reports, each as it first arrives."""
+    rows = _stream(spark, d, "program_reports").select(clean_path(F.col("source.relative")).alias("path"), F.lower("source.sha256").alias("sha"), "arrived_at").where("arrived_at is not null")
+    return drained(arrivals.first_seen(rows, ["path", "sha"], "arrived_at"), "first-seen", "append").select("path", "sha")
+
+
+@query("""select 'u' || user_id as file, bool_or(event_type = 'purchase') as fenced, count(*) filter (event_type = 'click') as relocations, bool_or(event_type = 'purchase') and count(*) filter (event_type = 'click') > 0 as ok from events group by 1""")
+def stream_run_states(spark: SparkSession, d: str) -> DataFrame:
+    """State of each run of a stream of its events, as it was last."""
+    kind = F.when(F.col("event_type") == "click", "reloc").when(F.col("event_type") == "purchase", "consistent").otherwise("search")
+    rows = _stream(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("file"), kind.alias("event"))
+    seen = drained(arrivals.run_states(rows), "run-states", "update")
+    return seen.groupBy("file").agg(F.max("fenced").alias("fenced"), F.max("relocations").alias("relocations"), F.max("ok").alias("ok"))

@@ -21,7 +21,7 @@ from lodestack.session import materialise, measured
 #: Peel rounds per Spark job: what is peeled leaves the state after each job, so the first ones are short.
 ROUNDS = (1, 2, 4, 8)
 #: Levels of the reverse order per job; the plan of a job reads its first input 2**LEVELS - 1 times.
-LEVELS = 3
+LEVELS = 2
 
 
 def library_edges(reports: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,10 +29,8 @@ WINDOW = 12
 WORD_BITS, WINDOW_BITS = 1 << 23, 1 << 25
 #: A re-parameterised leak repeats the template of an item over a run of at least so many words ...
 LEAST_RUN = 20
-#: ... in windows of which at least so many words are no placeholders ...
+#: ... in windows of which at least so many words are no placeholders.
 LEAST_PLAIN = 6
-#: ... and whose templates at most so many items have: what more items share is a stock phrase.
-MOST_ITEMS = 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NAME, _UNIT, _LOWER = range(3)
@@ -161,29 +159,30 @@ def _emit(lists: dict[int, bytes], wanted: bytes | None, shapes: bool, least_pla
     return scan
 
 
-def matched_windows(documents: DataFrame, items: DataFrame, shapes: bool = False) -> DataFrame:
-    """(doc_id, doc_pos, item_id, item_pos, doc_words, item_words): windows of whole texts with the same template.
+def written_windows(documents: DataFrame, items: DataFrame, shapes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(hash, doc_words, doc_id, doc_pos) and (hash, item_words, item_id, item_pos): windows of whole texts, written; of posts those that items may have.
 
     ``documents`` has doc_id and text, ``items`` item_id and text. Null and empty texts and those
-    of fewer than WINDOW words have no window. Without ``shapes`` the slots are filled alike, too:
-    the words are part of the join's key. With ``shapes``, names that the items don't know count as
-    names in posts, and windows are left out that are mostly placeholders or that more than
-    MOST_ITEMS items have: these say nothing about any one item.
-
-    The items' windows are written, so that Spark decides by their size on disk whether they are
-    broadcast; where not, windows that hold a large part of the posts' are spread.
+    of fewer than WINDOW words have no window. With ``shapes``, names that the items don't know
+    count as names in posts, and windows are left out that are mostly placeholders: any numbers
+    would be a renaming of any others. However many items share a window, it stays in.
     """
     lists = vocabulary(items)
     least = LEAST_PLAIN if shapes else 0
     theirs = items.select("item_id", "text").mapInArrow(_emit(lists, None, False, least), _DDL)
-    if shapes:
-        few = theirs.select("hash", "id").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_ITEMS)
-        theirs = theirs.join(few.select("hash"), "hash", "left_semi")
-    key = ["hash"] if shapes else ["hash", "words"]
     theirs = materialise(theirs.select("hash", F.col("words").alias("item_words"), F.col("id").alias("item_id"), F.col("pos").alias("item_pos")), "windows")
     wanted = bitmaps(theirs.select("hash", F.lit(0).alias("all")), "all", F.pmod("hash", F.lit(WINDOW_BITS)), WINDOW_BITS).get(0, bytes(WINDOW_BITS // 8))
     ours = documents.select("doc_id", "text").mapInArrow(_emit(lists, wanted, shapes, least), _DDL)
-    ours = materialise(ours.select("hash", F.col("words").alias("doc_words"), F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos")), "matches")
+    return materialise(ours.select("hash", F.col("words").alias("doc_words"), F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos")), "matches"), theirs
+
+
+def matched_windows(ours: DataFrame, theirs: DataFrame, shapes: bool = False) -> DataFrame:
+    """(doc_id, doc_pos, item_id, item_pos, doc_words, item_words): written windows with the same template, in all items that have it.
+
+    Without ``shapes`` the slots are filled alike, too: the words are part of the join's key.
+    Spark decides by the size of the items' windows on disk whether they are broadcast; where not,
+    windows that hold a large part of the posts' are spread.
+    """
     key = F.xxhash64("hash", *([] if shapes else ["_words"])).alias("_key")
     mine, other = (x.withColumn("_words", F.col(w)).withColumn("_key", key) for x, w in ((ours, "doc_words"), (theirs, "item_words")))
     joined = salted_lookup(mine.drop("_words"), other.drop("_words").withColumnRenamed("hash", "_hash"), "_key").where("hash = _hash")
@@ -193,7 +192,7 @@ def matched_windows(documents: DataFrame, items: DataFrame, shapes: bool = False
 
 def literal_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): texts that share at least WINDOW consecutive words, all slots filled alike."""
-    return matched_windows(documents, items).select("doc_id", "item_id").distinct()
+    return matched_windows(*written_windows(documents, items)).select("doc_id", "item_id").distinct()
 
 
 def reparameterised_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -203,18 +202,27 @@ def reparameterised_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     count where they cover at least LEAST_RUN words, where something was changed, and where one renaming explains
     all of it: equal words became equal words, different ones different ones. ``changed`` is the
     number of words that were renamed, ``windows`` that of the windows, for the run with most windows.
-    Pairs that also share a literal window stay in. The aggregate of one run is as long as the item at most.
+    Pairs that also share a literal window stay in. A window is compared with all items that have it:
+    rows without words count the windows of each run, and only runs that are long enough and no
+    literal copy meet their words. The aggregate of one run is as long as the item at most.
     """
-    zipped = F.arrays_zip(F.split("item_words", " ").alias("was"), F.split("doc_words", " ").alias("now"))
-    slots = F.array_distinct(zipped)
-    windows = matched_windows(documents, items, shapes=True).select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos", slots.alias("slots"))
-    runs = windows.groupBy("doc_id", "item_id", "shift").agg(
-        F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+    ours, theirs = written_windows(documents, items, shapes=True)
+    run = ["doc_id", "item_id", "shift"]
+    matched = matched_windows(ours, theirs, shapes=True).select(
+        "doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), (F.col("doc_words") != F.col("item_words")).alias("differs")
+    )
+    long = matched.groupBy(*run).agg(F.count("*").alias("windows"), F.count_if("differs").alias("differing"))
+    long = long.where((F.col("windows") >= LEAST_RUN - WINDOW + 1) & (F.col("differing") > 0)).select(*run, "windows")
+    mine, other = ours.withColumnRenamed("doc_id", "_doc"), theirs.withColumnsRenamed({"item_id": "_item", "hash": "_hash"})
+    worded = long.join(mine, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(
+        other, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_pos") == F.col("doc_pos") - F.col("shift")) & (F.col("hash") == F.col("_hash"))
     )
+    slots = F.array_distinct(F.arrays_zip(F.split("item_words", " ").alias("was"), F.split("doc_words", " ").alias("now")))
+    runs = worded.select(*run, "windows", slots.alias("slots")).groupBy(*run, "windows").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     was, now = F.transform("slots", lambda s: s["was"]), F.transform("slots", lambda s: s["now"])
     n = F.size("slots")
     runs = runs.withColumn("changed", F.size(F.filter("slots", lambda s: s["was"] != s["now"])))
-    kept = runs.where((F.col("windows") >= LEAST_RUN - WINDOW + 1) & (F.col("changed") > 0) & (n == F.size(F.array_distinct(was))) & (n == F.size(F.array_distinct(now))))
+    kept = runs.where((n == F.size(F.array_distinct(was))) & (n == F.size(F.array_distinct(now))))
     best = F.max(F.struct("windows", "changed")).alias("best")
     return kept.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.windows", "best.changed")
 

@@ -177,6 +177,19 @@ def test_reparameterised_leaks(spark):
     assert (7, 10) in got and not {d for d, _ in got} & {3, 5, 6, 9}
 
 
+def test_leaks_of_a_template_that_many_items_share(spark):
+    """Variants of one question are all found, however many there are, a literal copy of one among them, too; a phrase shorter than a run is not."""
+    filled = lambda *new: ITEM.replace("Ferrol", new[0]).replace("Clara", new[1]).replace("140", new[2])
+    items = [(k, filled("Aba Dol Fen Gil Hup Jor Kal Lem Mur Nop".split()[k], "Ann", str(150 + k))) for k in range(10)]
+    phrases = [(20 + k, f"The {w} story opens with these words: " + " ".join(ITEM.split()[:14]) + f", {w} ends.") for k, w in enumerate("long short old new sad odd".split())]
+    docs = [(1, "I read: " + filled("Lugo", "Maria", "95")), (2, "Same here. " + items[3][1]), (3, " ".join(ITEM.split()[:14])), (4, filled("Lugo", "Lugo", "95")), (None, filled("Orense", "Eva", "7"))]
+    posts, theirs = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items + phrases, "item_id bigint, text string")
+    every = set(range(10))
+    rows = leakage.reparameterised_leaks(posts, theirs).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(d, i) for d in (1, None) for i in every} | {(2, i) for i in every - {3}}
+    assert {r.changed for r in rows if r.doc_id == 1} == {3} and len(rows) == 29
+
+
 def test_planted_reparameterised_leaks(spark):
     """Items with their names and numbers replaced are found, stock phrases and ordinary posts are not."""
     items = spark.read.parquet("/root/testdata/sf0.01/eval_items.parquet")

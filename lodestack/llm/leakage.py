@@ -130,8 +130,11 @@ _SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int32()), ("hash", pa.int64(
 _DDL = "id bigint, pos int, hash bigint, words string, plain int"
 
 
-def _emit(lists: dict[int, bytes], wanted: bytes | None, shapes: bool, least_plain: int):
-    """Windows of each whole text with at least ``least_plain`` words that are no placeholders; with ``wanted`` only those whose bit is set."""
+def _emit(lists: dict[int, bytes], wanted: bytes | None, shapes: bool, least_plain: int, least_windows: int):
+    """Windows of each whole text with at least ``least_plain`` words that are no placeholders; with ``wanted`` only those whose bit is set.
+
+    Texts with fewer than ``least_windows`` of these give none.
+    """
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
@@ -149,6 +152,8 @@ def _emit(lists: dict[int, bytes], wanted: bytes | None, shapes: bool, least_pla
                 if bits is not None:
                     at = hashes & np.uint64(WINDOW_BITS - 1)
                     keep &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                if np.count_nonzero(keep) < least_windows:
+                    continue
                 for i in np.flatnonzero(keep).tolist():
                     rows.append((own_id, i, int(hashes[i].astype(np.int64)), " ".join(words[i : i + WINDOW]), int(plain[i])))
                     if len(rows) > 20_000:
@@ -165,14 +170,15 @@ def written_windows(documents: DataFrame, items: DataFrame, shapes: bool = False
     ``documents`` has doc_id and text, ``items`` item_id and text. Null and empty texts and those
     of fewer than WINDOW words have no window. With ``shapes``, names that the items don't know
     count as names in posts, and windows are left out that are mostly placeholders: any numbers
-    would be a renaming of any others. However many items share a window, it stays in.
+    would be a renaming of any others; texts with too few windows for any run have none. However
+    many items share a window, it stays in.
     """
     lists = vocabulary(items)
-    least = LEAST_PLAIN if shapes else 0
-    theirs = items.select("item_id", "text").mapInArrow(_emit(lists, None, False, least), _DDL)
+    least = (LEAST_PLAIN, LEAST_RUN - WINDOW + 1) if shapes else (0, 1)
+    theirs = items.select("item_id", "text").mapInArrow(_emit(lists, None, False, *least), _DDL)
     theirs = materialise(theirs.select("hash", F.col("words").alias("item_words"), F.col("id").alias("item_id"), F.col("pos").alias("item_pos")), "windows")
     wanted = bitmaps(theirs.select("hash", F.lit(0).alias("all")), "all", F.pmod("hash", F.lit(WINDOW_BITS)), WINDOW_BITS).get(0, bytes(WINDOW_BITS // 8))
-    ours = documents.select("doc_id", "text").mapInArrow(_emit(lists, wanted, shapes, least), _DDL)
+    ours = documents.select("doc_id", "text").mapInArrow(_emit(lists, wanted, shapes, *least), _DDL)
     return materialise(ours.select("hash", F.col("words").alias("doc_words"), F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos")), "matches"), theirs
 
 
